@@ -1,5 +1,6 @@
 """Queries of this subpackage: name -> (function, SQL or None)."""
 from weft.llm.mixing import taken
+from weft.llm.neardup import near_duplicates
 from weft.llm.secrets import scan
 from weft.llm.tokens import token_counts
 
@@ -13,5 +14,6 @@ def _tokens(spark, d):
 QUERIES = {
     "op1_token_counts": (_tokens, None),
     "op3_mix_sources": (lambda spark, d: taken(spark.read.parquet(f"{d}/documents.parquet")), None),
+    "op7_minhash_near_dedup": (lambda spark, d: near_duplicates(spark.read.parquet(f"{d}/documents.parquet")), None),
     "op9_secret_scans": (lambda spark, d: scan(spark.read.parquet(f"{d}/documents.parquet")), None),
 }
