@@ -1,6 +1,8 @@
 """Queries of this subpackage: name -> (function, SQL or None)."""
+from weft.llm.decontam import SQL as LEAKS, contained
 from weft.llm.mixing import taken
 from weft.llm.neardup import near_duplicates
+from weft.llm.quality import quality
 from weft.llm.secrets import scan
 from weft.llm.tokens import token_counts
 
@@ -11,9 +13,15 @@ def _tokens(spark, d):
     return token_counts(spark.read.parquet(f"{d}/documents.parquet"), P.path("byte_bpe_50k.json"), P.PATTERN)
 
 
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
 QUERIES = {
     "op1_token_counts": (_tokens, None),
     "op3_mix_sources": (lambda spark, d: taken(spark.read.parquet(f"{d}/documents.parquet")), None),
+    "op6_benchmark_decontamination": (lambda spark, d: contained(_t(spark, d, "documents"), _t(spark, d, "benchmark")).drop("row_hash"), LEAKS),
+    "op10_quality_classifier": (lambda spark, d: quality(_t(spark, d, "documents"), _t(spark, d, "labels")), None),
     "op7_minhash_near_dedup": (lambda spark, d: near_duplicates(spark.read.parquet(f"{d}/documents.parquet")), None),
     "op9_secret_scans": (lambda spark, d: scan(spark.read.parquet(f"{d}/documents.parquet")), None),
 }
