@@ -66,7 +66,7 @@ def _small(g: DataFrame) -> bool:
 def clean(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of docs that contain no item."""
     bad = contained(docs, items, least).select(F.col("row_hash").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_bad"], "left_anti")
 
 
 SQL = r"""WITH i AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),

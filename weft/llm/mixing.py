@@ -9,9 +9,10 @@ documents equal in id and text fare alike.
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def taken(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row."""
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+def taken(docs: DataFrame, cap: int = 3, seed: int = 17, keep: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row; where docs are kept, their columns as struct `row` instead of doc_id."""
+    own = "row" if keep else "doc_id"
+    d = docs.select(F.struct(*docs.columns).alias("row") if keep else "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     s = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     # one row a source; sums of that table only
     w = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
@@ -28,4 +29,14 @@ def taken(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
     j = d.join(s, F.col("source").eqNullSafe(F.col("src")))
     u = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    return j.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return j.select(own, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
+    """docs as often as the mix takes each row, `copy` counting from 1, with source_size, target
+    and copies. Rows without words are taken as their source's rate says. Rows that are equal
+    in id, text and source are mixed alike."""
+    names = ["source_size", "target", "copies"]
+    m = taken(docs, cap, seed, keep=True).where("copies > 0")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in [*names, "copy"]]
+    return m.select(*own, *names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

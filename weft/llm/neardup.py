@@ -144,3 +144,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     full = every.join(member.select("digest", "label"), "digest", "left")
     full = full.withColumn("label", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("label")).otherwise(F.col("id")))
     return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.col("id").eqNullSafe(F.col("label")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their group: its smallest doc_id, of repeated rows of
+    that id one. Rows without words are no copies and all stay; so do rows of a null id."""
+    kept = near_duplicates(docs, words, percent).where("kept and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") | F.col("doc_id").isNull()
+    live = docs.where(~bare).join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.where(bare).unionByName(live)

@@ -1,4 +1,8 @@
-"""Secret scans: base kinds, native. The randomness battery is not built yet.
+"""Secret scans, native: base kinds by pattern, others by a battery of randomness tests.
+
+Tokens of 20 or more characters in a hexadecimal, base-32 or base-64 alphabet are tested for
+uniformity, runs and serial correlation; those not shown to be non-random are spans of kind
+`random` unless they overlap a base span.
 
 Null texts count as empty; every row gives a row; repeated ids are kept.
 """
@@ -12,10 +16,18 @@ KINDS = {
 }
 
 
+# Alphabets of the inferred encodings, and what a candidate token is.
+HEX = "0123456789abcdef"
+B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+TOKEN = (r"([A-Za-z0-9+/_-]{20,}+)", 1, 20)
+
+
 def spans(text: Column, kind: str) -> Column:
     """array<struct<s,o,k,e>> of a kind's leftmost matches, code points, end exclusive."""
-    pattern, group, least = KINDS[kind]
-    order = list(KINDS).index(kind)
+    pattern, group, least = KINDS.get(kind, TOKEN)
+    order = [*KINDS, kind].index(kind)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
@@ -27,10 +39,97 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind_t))
 
 
+def _normal_tail(z: Column) -> Column:
+    """Share of the normal distribution above z, by a logistic form good to about 0.0002."""
+    c = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
+    return 1 / (1 + F.exp(1.5976 * c + 0.07056 * c * c * c))
+
+
+def _encoding(t: Column) -> Column:
+    """The alphabet a token seems to be written in; null for words and the like."""
+    both = t.rlike("[0-9]") & t.rlike("[A-Za-z]")
+    return (
+        F.when(both & t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX))
+        .when(both & t.rlike("^[A-Z2-7]+$"), F.lit(B32))
+        .when(both & t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("^[A-Za-z0-9]+$"), F.lit(B62))
+        .when(both & t.rlike("[a-z]") & t.rlike("[A-Z]"), F.lit(B64))
+    )
+
+
+def _battery(x: Column) -> Column:
+    """Smallest of three p-values times three, for the hypothesis that x.t is uniform over x.a.
+
+    Chi-squared over the alphabet (upper tail), runs about its middle and serial
+    correlation at lag one (both tails).
+    """
+    n, size = F.size(x["i"]).cast("double"), F.length(x["a"]).cast("double")
+    squares = F.aggregate(F.transform(F.split(x["a"], ""), lambda c: F.length(x["t"]) - F.length(F.replace(x["t"], c))), F.lit(0.0), lambda s, c: s + c * c)
+    chi = squares * size / n - n
+    chi_z = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+    pairs = F.zip_with(F.slice(x["i"], F.lit(1), F.size(x["i"]) - 1), F.slice(x["i"], F.lit(2), F.size(x["i"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    high = F.size(F.filter(x["i"], lambda v: v * 2 >= size)).cast("double")
+    turns = F.size(F.filter(pairs, lambda v: (v["a"] * 2 >= size) != (v["b"] * 2 >= size))) + 1.0
+    m = 2 * high * (n - high) / n
+    run_z = F.when(m > 0, F.abs(turns - 1 - m) / F.sqrt(F.greatest(m * (m - 1) / (n - 1), F.lit(1e-9)))).otherwise(F.lit(8.0))
+    mid, var = (size - 1) / 2, (size * size - 1) / 12
+    serial = F.aggregate(pairs, F.lit(0.0), lambda s, v: s + (v["a"] - mid) * (v["b"] - mid))
+    serial_z = F.abs(serial) / (var * F.sqrt(n - 1))
+    return F.least(F.lit(1.0), 3 * F.least(_normal_tail(chi_z), 2 * _normal_tail(run_z), 2 * _normal_tail(serial_z)))
+
+
+def random_spans(text: Column, level: float = 0.05) -> list[tuple[str, Column]]:
+    """Steps (column name, expression) that end in column `random`: tokens not shown to be non-random.
+
+    Within a text, tokens are tested together: p-values are weighted by length, since longer
+    tokens give the tests more power, and the false discoveries of "not random" are held at
+    `level` (step-up procedure). Tokens so discovered are dropped, the rest are spans.
+    """
+    c = F.col
+    tok = F.filter(F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("t"))), lambda x: _encoding(x["t"]).isNotNull())
+    named = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(_encoding(x["t"]) == HEX, F.lower(x["t"])).otherwise(F.translate(x["t"], "-_", "+/")).alias("t"), _encoding(x["t"]).alias("a")))
+    index = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), x["a"].alias("a"), F.transform(F.split(x["t"], ""), lambda ch: F.position(ch, x["a"]) - 1).alias("i")))
+    tested = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.size(x["i"]).cast("double").alias("n"), _battery(x).alias("p")))
+    mean = F.aggregate("_c", F.lit(0.0), lambda s, x: s + x["n"]) / F.greatest(F.size("_c"), F.lit(1))
+    weighed = F.array_sort(F.transform("_c", lambda x: F.struct((x["p"] * c("_m") / x["n"]).alias("q"), x["s"].alias("s"), x["e"].alias("e"))))
+    found = F.coalesce(F.array_max(F.transform("_c", lambda x, i: F.when(x["q"] <= level * (i + 1) / F.size("_c"), i + 1).otherwise(0))), F.lit(0))
+    left = F.transform(F.slice("_c", c("_k") + 1, F.greatest(F.size("_c"), F.lit(1))), lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), F.lit("random").alias("k"), x["e"].alias("e"), (x["e"] - x["s"]).alias("p")))
+    return [("_c", spans(text, "_token")), ("_c", tok), ("_c", named), ("_c", index), ("_c", tested), ("_m", mean), ("_c", weighed), ("_k", found), ("random", left)]
+
+
+def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with columns _t (text, empty for null), each kind, `_base` and `_all` (sorted spans)."""
+    d = docs.withColumn("_t", F.coalesce(text_col, F.lit("")))
+    for k in KINDS:
+        d = d.withColumn(f"_{k}", spans(F.col("_t"), k))
+    d = d.withColumn("_base", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
+    for name, step in random_spans(F.col("_t")):
+        d = d.withColumn("_random" if name == "random" else name, step)
+    new = F.filter("_random", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return d.withColumn("_all", F.array_sort(F.concat("_base", new)))
+
+
+def _said(col: str) -> Column:
+    return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    d = d.select("doc_id", *(spans(F.col("t"), k).alias(k) for k in KINDS))
-    both = F.array_sort(F.concat(*KINDS))
-    said = F.array_join(F.transform(both, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
-    d = d.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), said.alias("spans"))
-    return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    d = with_spans(docs.select("doc_id", "text"))
+    return d.select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_said("_base"), 256).alias("base_sha256"), _said("_all").alias("spans"))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of `text` replaced by mark, touching or overlapping spans by one; n_chars follows."""
+    d = with_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        lead = F.when(x["s"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(F.col("_t"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], lead).alias("out"))
+
+    done = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_t"), acc["at"] + 1, F.length("_t"))))
+    hit = F.size("_all") > 0
+    new = F.when(hit, done).otherwise(F.col("text"))
+    out = {c: F.col("row")[c] for c in docs.columns} | {"text": new}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(hit, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return d.select(*(v.alias(c) for c, v in out.items()))
