@@ -1,6 +1,7 @@
 """Queries of this subpackage: name -> (function, SQL or None)."""
 from weft.llm.decontam import SQL as LEAKS, contained
 from weft.llm.embeddings import near_embeddings
+from weft.llm.extract import extract
 from weft.llm.mixing import taken
 from weft.llm.neardup import near_duplicates
 from weft.llm.quality import quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op1_token_counts": (_tokens, None),
     "op2_embedding_near_dedup": (lambda spark, d: near_embeddings(_t(spark, d, "embeddings")), None),
     "op3_mix_sources": (lambda spark, d: taken(spark.read.parquet(f"{d}/documents.parquet")), None),
+    "op5_html_extraction": (lambda spark, d: extract(_t(spark, d, "pages")), None),
     "op6_benchmark_decontamination": (lambda spark, d: contained(_t(spark, d, "documents"), _t(spark, d, "benchmark")).drop("row_hash"), LEAKS),
     "op10_quality_classifier": (lambda spark, d: quality(_t(spark, d, "documents"), _t(spark, d, "labels")), None),
     "op7_minhash_near_dedup": (lambda spark, d: near_duplicates(spark.read.parquet(f"{d}/documents.parquet")), None),
