@@ -2,6 +2,7 @@
 from weft.llm.decontam import SQL as LEAKS, contained
 from weft.llm.embeddings import near_embeddings
 from weft.llm.extract import extract
+from weft.llm.licenses import license_spans
 from weft.llm.mixing import taken
 from weft.llm.neardup import near_duplicates
 from weft.llm.quality import quality
@@ -27,5 +28,6 @@ QUERIES = {
     "op6_benchmark_decontamination": (lambda spark, d: contained(_t(spark, d, "documents"), _t(spark, d, "benchmark")).drop("row_hash"), LEAKS),
     "op10_quality_classifier": (lambda spark, d: quality(_t(spark, d, "documents"), _t(spark, d, "labels")), None),
     "op7_minhash_near_dedup": (lambda spark, d: near_duplicates(spark.read.parquet(f"{d}/documents.parquet")), None),
+    "op8_license_scans": (lambda spark, d: license_spans(_t(spark, d, "documents")), None),
     "op9_secret_scans": (lambda spark, d: scan(spark.read.parquet(f"{d}/documents.parquet")), None),
 }
