@@ -45,3 +45,10 @@ def test_nulls_and_none(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (1, "x y z"), (0, "x y z")], "doc_id long, text string")
     got = sorted((str(r[0]), r[2]) for r in near_duplicates(df).collect())
     assert got == [("0", 0), ("1", 0), ("1", 1), ("1", 1), ("None", None)]
+
+
+def test_star(spark):
+    """Copies that are linked through their original only."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if (j * 7 + i * 13) % 50 else f"c{i}x{j}" for j, w in enumerate(base))) for i in range(1, 50)] + [(77, " ".join(base))]
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)

@@ -19,7 +19,7 @@ from weft.llm.common import Words, components, cut, mix, shingles
 
 CHUNKS, WIDTH = 8, 4
 VALUES = CHUNKS * WIDTH
-ROUNDS = 2  # rounds of leaders before classes under a key meet in full
+ROUNDS = 4  # rounds of leaders before classes under a key meet in full
 SEEDS = np.random.default_rng(7).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -122,10 +122,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
             k = k.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
             apart = k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
             k = cut(k.join(apart, "key"))
+            if k.isEmpty():
+                break
         else:
             k = k.withColumn("label", F.col("id"))
         if r < ROUNDS:
-            lead = k.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64(F.lit(r), "id")).alias("l"))
+            if r:  # the middle of a group of copies meets the most others
+                crowd = k.groupBy("key").count()
+                weight = k.join(crowd, "key").groupBy("id").agg(F.sum("count").alias("weight"))
+                k = k.join(weight, "id")
+            else:
+                k = k.withColumn("weight", F.lit(0))
+            lead = k.groupBy("key").agg(F.max_by(F.struct("id", "label"), F.struct("weight", F.xxhash64(F.lit(r), "id"))).alias("l"))
             pairs = k.join(lead, "key").where("label <> l.label").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
         else:
             o = k.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
@@ -134,6 +142,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        if r and pairs.isEmpty():
+            if r < ROUNDS:
+                continue
+            break
         seen = pairs if seen is None else seen.union(pairs)
         found = cut(_linked(pairs, reps, percent))
         links = found if links is None else links.union(found)
