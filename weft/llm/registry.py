@@ -5,6 +5,7 @@ from weft.llm.extract import extract
 from weft.llm.licenses import license_spans
 from weft.llm.mixing import taken
 from weft.llm.neardup import near_duplicates
+from weft.llm.passages import repeated_passages
 from weft.llm.quality import quality
 from weft.llm.secrets import scan
 from weft.llm.tokens import token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op1_token_counts": (_tokens, None),
     "op2_embedding_near_dedup": (lambda spark, d: near_embeddings(_t(spark, d, "embeddings")), None),
     "op3_mix_sources": (lambda spark, d: taken(spark.read.parquet(f"{d}/documents.parquet")), None),
+    "op4_substring_dedup": (lambda spark, d: repeated_passages(_t(spark, d, "documents")), None),
     "op5_html_extraction": (lambda spark, d: extract(_t(spark, d, "pages")), None),
     "op6_benchmark_decontamination": (lambda spark, d: contained(_t(spark, d, "documents"), _t(spark, d, "benchmark")).drop("row_hash"), LEAKS),
     "op10_quality_classifier": (lambda spark, d: quality(_t(spark, d, "documents"), _t(spark, d, "labels")), None),
