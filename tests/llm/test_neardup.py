@@ -52,3 +52,14 @@ def test_star(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(w if (j * 7 + i * 13) % 50 else f"c{i}x{j}" for j, w in enumerate(base))) for i in range(1, 50)] + [(77, " ".join(base))]
     assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
+def test_full_meeting(spark, monkeypatch):
+    """With one round of leaders most classes meet in full; no link is lost."""
+    from weft.llm import neardup
+
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if (j * 7 + i * 13) % 20 else f"c{i}x{j}" for j, w in enumerate(base))) for i in range(1, 40)]
+    rows += [(100 + i, " ".join(base[:i] + ["new"] + base[i + 1 :])) for i in range(30)]
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)

@@ -8,8 +8,14 @@ confirmed on whole shingle sets. Equal sets are one class before the join.
 Under a key, every class first meets only the key's leader; classes linked so far are joined,
 and new leaders are drawn. What is still apart under a key meets in full, so no link between
 signatures within the distance is lost. At similarity s a value differs with probability 1 - s.
+
+Each set also has a parity sketch of PARITY * 64 bits: every member flips one. Bits that differ
+between two sketches are at most the members that differ, so sketches rule out most pairs below
+the threshold, and none above it, before whole sets are fetched.
 """
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +25,41 @@ from weft.llm.common import Words, components, cut, mix, shingles
 
 CHUNKS, WIDTH = 8, 4
 VALUES = CHUNKS * WIDTH
+PARITY = 8
 ROUNDS = 4  # rounds of leaders before classes under a key meet in full
 SEEDS = np.random.default_rng(7).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Low 16 bits of the minima of s under each seed."""
-    out = np.empty(VALUES, np.uint64)
+def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row for each set of values from one start to the next: low 16 bits of its minima under each seed."""
+    out = np.empty((len(starts), VALUES), np.uint64)
     with np.errstate(over="ignore"):
         for i, seed in enumerate(SEEDS):
-            x = s * seed
-            out[i] = (x ^ (x >> np.uint64(29))).min()
+            x = values * seed
+            x ^= x >> np.uint64(29)
+            out[:, i] = np.minimum.reduceat(x, starts)
         return mix(out) & np.uint64(0xFFFF)
 
 
 def keys_of(sig: np.ndarray) -> np.ndarray:
-    """CHUNKS * WIDTH keys: each chunk with each of its values left out."""
-    out = []
+    """CHUNKS * WIDTH keys of each row: each chunk with each of its values left out."""
+    out = np.empty((len(sig), VALUES), np.uint64)
     with np.errstate(over="ignore"):
         for c in range(CHUNKS):
             for gap in range(WIDTH):
-                h = np.uint64(c * WIDTH + gap + 1)
+                h = np.full(len(sig), np.uint64(c * WIDTH + gap + 1))
                 for i in range(WIDTH):
                     if i != gap:
-                        h = mix((h << np.uint64(16)) ^ sig[c * WIDTH + i] ^ (h >> np.uint64(40)))
-                out.append(h)
-    return np.array(out)
+                        h = mix((h << np.uint64(16)) ^ sig[:, c * WIDTH + i] ^ (h >> np.uint64(40)))
+                out[:, c * WIDTH + gap] = h
+    return out
+
+
+def parity(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The parity sketch of each set, in PARITY longs."""
+    bit = np.uint64(1) << (values & np.uint64(63))
+    lane = (values >> np.uint64(6)) % np.uint64(PARITY)
+    return np.stack([np.bitwise_xor.reduceat(np.where(lane == np.uint64(i), bit, np.uint64(0)), starts) for i in range(PARITY)], 1)
 
 
 def sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -73,27 +88,44 @@ def _digest(g: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(g.tobytes())
 
 
-def _keys(reps: DataFrame) -> DataFrame:
+def _sketches(reps: DataFrame) -> DataFrame:
+    """(id, n, par, keys) of each set."""
+
+    def rows(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                sig = [signature(np.asarray(s.values).view(np.uint64)) for s in part.column(1)]
-                key = np.concatenate([keys_of(s) for s in sig])
-                ids = np.repeat(np.arange(part.num_rows), CHUNKS * WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(ids))], ["key", "id"])
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                size = part.column(1).to_numpy()
+                values, starts = part.column(2).flatten().to_numpy().view(np.uint64), np.cumsum(size) - size
+                sig = signatures(values, starts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows(parity(values, starts)), rows(keys_of(sig))], ["id", "n", "par", "keys"])
+
+    d = reps.select("id", "n", "set")
+    return d.mapInArrow(run, f"id {d.schema[0].dataType.simpleString()}, n long, par array<long>, keys array<long>")
+
+
+def _possible(na, nb, pa, pb, percent: int):
+    """Whether sizes and parity sketches allow the similarity: common members are at most half of
+    na + nb less the bits that differ."""
+    differ = reduce(add, (F.bit_count(pa[i].bitwiseXOR(pb[i])) for i in range(PARITY)))
+    return (F.least(na, nb) * 100 >= percent * F.greatest(na, nb)) & ((na + nb - differ) * (100 + percent) >= 2 * percent * (na + nb))
+
 
-    d = reps.select("id", "set")
-    return d.mapInArrow(run, f"key long, id {d.schema[0].dataType.simpleString()}")
+def _first_shared(slot, ka, kb):
+    """Whether slot is the first in which the two lists of keys agree."""
+    return F.array_position(F.zip_with(ka, kb, lambda a, b: a == b), True) == slot + 1
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sketch: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole sets are similar enough."""
-    n = reps.select("id", "n")
-    p = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    p = p.where(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
+    n = sketch.select("id", "n", "par")
+    p = pairs.join(n.toDF("a", "na", "pa"), "a").join(n.toDF("b", "nb", "pb"), "b")
+    p = p.where(_possible(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)).select("a", "b", "na", "nb")
     s = reps.select("id", "set")
-    p = p.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    p = p.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     p = p.withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return p.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -112,7 +144,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
     node = reps.groupBy("id").count().where("count > 1").limit(1).count()
     if node:
         reps = cut(reps.withColumn("id", F.struct("id", "digest")))
-    keys = cut(_keys(reps))
+    sketch = cut(_sketches(reps))
+    keys = sketch.select("id", F.posexplode("keys").alias("slot", "key"))
     keys = cut(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"))
     links, seen = None, None
     label = None
@@ -136,8 +169,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
             lead = k.groupBy("key").agg(F.max_by(F.struct("id", "label"), F.struct("weight", F.xxhash64(F.lit(r), "id"))).alias("l"))
             pairs = k.join(lead, "key").where("label <> l.label").select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
         else:
-            o = k.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
-            pairs = k.join(o, "key").where("id < id2 and label <> label2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            # a pair counts under its first shared key only
+            k = k.join(sketch.select("id", "n", "par", "keys"), "id")
+            x, y = k.alias("x"), k.alias("y")
+            c = F.col
+            both = (c("x.key") == c("y.key")) & (c("x.id") < c("y.id")) & (c("x.label") != c("y.label"))
+            both &= _possible(c("x.n"), c("y.n"), c("x.par"), c("y.par"), percent) & _first_shared(c("x.slot"), c("x.keys"), c("y.keys"))
+            pairs = x.join(y, both).select(c("x.id").alias("a"), c("y.id").alias("b"))
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -147,7 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, id_col:
                 continue
             break
         seen = pairs if seen is None else seen.union(pairs)
-        found = cut(_linked(pairs, reps, percent))
+        found = cut(_linked(pairs, sketch, reps, percent))
         links = found if links is None else links.union(found)
         label = components(links)
     member = reps.select("digest", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
