@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 from weft.operators import collections as C
 from weft.plans import search as S
-from weft.plans import extra
+from weft.plans import extra, more
 from weft.sources.tables import table as t
 
 TERMS = ["the", "of", "that"]
@@ -38,4 +38,4 @@ SELECT k, '['||coalesce(x,'')||'],['||coalesce(y,'')||']' AS v FROM a FULL JOIN
     "kv_view_page": (lambda s, d: t(s, d, "customer").where("c_name >= 'Customer'").orderBy("c_name", "c_custkey").limit(10).select("c_custkey", "c_name"), "SELECT c_custkey,c_name FROM customer WHERE c_name >= 'Customer' ORDER BY c_name,c_custkey LIMIT 10"),
     "anti_join": (lambda s, d: t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
 }
-QUERIES |= extra.QUERIES
+QUERIES |= extra.QUERIES | more.QUERIES
