@@ -26,3 +26,27 @@ def test_planted(spark):
     assert got[30].spans == "0:55,155:210"
     assert all(got[i].n_passages == 0 and got[i].component_id == i for i in (40, 41, 42, 43, None))
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_that_no_leader_shows(spark):
+    g = random.Random(8)
+    word = lambda: f"w{g.randrange(10**6)}"
+    fill = lambda n: [word() for _ in range(n)]
+    base = fill(60)
+
+    def version():
+        out = list(base)
+        for i in g.sample(range(60), 4):
+            out[i] = word()
+        return out
+
+    # every version is its own, but for 20 that stand in two rows each
+    versions = [version() for _ in range(200)]
+    texts = [fill(20) + v + fill(20) for v in versions + versions[:20]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(20):
+        for k in (i, 200 + i):
+            spans = [tuple(map(int, x.split(":"))) for x in got[k].spans.split(",") if x]
+            assert any(a <= 20 and b >= 80 for a, b in spans), k
+        assert got[i].component_id == got[200 + i].component_id

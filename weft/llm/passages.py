@@ -3,8 +3,8 @@
 Tokens are hashes of five-word runs. Under a hash, the Cartesian tree of a text's tokens gives for
 each node its widest window; all subsequences of a window that hold the node share its min-hash.
 Windows under the three hashes of a table are joined on their intervals; the three minima of an
-intersection that is long enough are its key. Texts under a key are compared with the key's
-leader: the tokens both windows share are cut at wide gaps and confirmed by similarity.
+intersection that is long enough are its key. All windows under a key meet each other, dealt to
+blocks: the tokens two windows share are cut at wide gaps and confirmed by similarity.
 A passage that repeats word for word meets in every table.
 """
 from collections.abc import Iterator
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from weft.llm.common import Words, components, cut, mix, shingles
 
 TABLES, GAP = 3, 12
+BLOCK = 500  # windows of a key in a block
 SEEDS = np.random.default_rng(11).integers(1, 1 << 62, 3 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -129,8 +130,13 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     text = cut(d.select("rid", "text").mapInArrow(tokens, "rid long, s array<long>").where(F.size("s") > 0)).dropDuplicates(["rid"])
     text = cut(text)
     keys = cut(text.mapInArrow(spread, "key long, rid long, lo long, hi long"))
-    lead = keys.groupBy("key").agg(F.min(F.struct("rid", "lo", "hi")).alias("l"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(lead, "key").where("rid <> l.rid or lo <> l.lo").select(F.col("l.rid").alias("a"), F.col("rid").alias("b"), F.col("l.lo").alias("la"), F.col("l.hi").alias("ha"), "lo", "hi").distinct()
+    many = keys.groupBy("key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    seat = keys.join(many, "key").withColumn("own", F.pmod(F.xxhash64("rid", "lo"), F.col("blocks")).cast("int"))
+    seat = seat.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = seat.select("key", F.col("own").alias("p"), F.col("other").alias("q"), F.col("rid").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    right = seat.select("key", F.col("other").alias("p"), F.col("own").alias("q"), F.col("rid").alias("b"), "lo", "hi")
+    # windows of one place in one text under a key differ only in their ends
+    pairs = left.join(right, ["key", "p", "q"]).where("a < b or (a = b and la < lo)").select("a", "b", "la", "ha", "lo", "hi").distinct()
     s = text.select(F.col("rid").alias("a"), F.col("s").alias("sa"))
     p = pairs.join(s, "a").withColumn("sa", F.slice("sa", (F.col("la") + 1).cast("int"), (F.col("ha") - F.col("la") + 1).cast("int")))
     p = p.join(s.toDF("b", "sb"), "b").withColumn("sb", F.slice("sb", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int")))
