@@ -1,6 +1,9 @@
 import random
 
-from weft.llm.passages import repeated_passages
+import numpy as np
+
+from weft.llm.common import Words, shingles
+from weft.llm.passages import keyed, repeated_passages
 
 
 def test_planted(spark):
@@ -50,3 +53,22 @@ def test_links_that_no_leader_shows(spark):
             spans = [tuple(map(int, x.split(":"))) for x in got[k].spans.split(",") if x]
             assert any(a <= 20 and b >= 80 for a, b in spans), k
         assert got[i].component_id == got[200 + i].component_id
+
+
+def test_recall_of_short_near_passages():
+    g = random.Random(1)
+    word = lambda: f"w{g.randrange(10**6)}".encode()
+    met = 0
+    for _ in range(200):
+        base = [word() for _ in range(50)]
+        other = list(base)
+        other[g.randrange(5, 45)] = word()  # similarity of at least 0.8
+        texts = ([word() for _ in range(30)] + t + [word() for _ in range(30)] for t in (base, other))
+        x, y = ({k for k, _, _ in keyed(shingles(Words()(t), 5), 46, 80)} for t in texts)
+        met += bool(x & y)
+    assert met == 200
+
+
+def test_repeated_lines_stay_few():
+    line = np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert len(keyed(np.tile(line, 100), 46, 80)) < 100_000

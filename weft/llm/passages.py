@@ -7,6 +7,7 @@ intersection that is long enough are its key. All windows under a key meet each
 blocks: the tokens two windows share are cut at wide gaps and confirmed by similarity.
 A passage that repeats word for word meets in every table.
 """
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.common import Words, components, cut, mix, shingles
 
-TABLES, GAP = 3, 12
+MISS, GAP = 1e-4, 12
 BLOCK = 500  # windows of a key in a block
-SEEDS = np.random.default_rng(11).integers(1, 1 << 62, 3 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def tables(percent: int) -> int:
+    """Tables of three hashes, so that one aligned window at the threshold shares no key with a probability of at most MISS."""
+    p = (percent / 100) ** 3
+    return 1 if p == 1 else math.ceil(math.log(MISS) / math.log1p(-p))
+
+
+def seeds(count: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(1, 1 << 62, 3 * count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -26,7 +36,8 @@ def windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     while todo:
         a, b = todo.pop()
         if b - a >= least:
-            c = a + int(v[a:b].argmin())
+            low = np.flatnonzero(v[a:b] == v[a:b].min())
+            c = a + int(low[np.abs(low - (b - a) // 2).argmin()])  # of equal ones the middle, lest repeated lines make a chain
             out.append((a, c, b - 1))
             todo += [(a, c), (c + 1, b)]
     return sorted(out)
@@ -47,13 +58,15 @@ def met(x: list, y: list, least: int) -> list[tuple]:
     return sorted(out)
 
 
-def keyed(s: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def keyed(s: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int]]:
     """(key, left, right) of a text's joint windows."""
     out = []
+    count = tables(percent)
+    every = seeds(count)
     with np.errstate(over="ignore"):
-        for t in range(TABLES):
+        for t in range(count):
             joint = None
-            for seed in SEEDS[3 * t : 3 * t + 3]:
+            for seed in every[3 * t : 3 * t + 3]:
                 w = [(a, b, c) for a, c, b in windows(mix(s * seed), least)]
                 joint = w if joint is None else met(joint, w, least)
             for lo, hi, *nodes in joint:
@@ -64,9 +77,17 @@ def keyed(s: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """(from, to, from, to) of passages that a and b share, ends included."""
-    on = np.flatnonzero(np.isin(a, b))
+def common(a: np.ndarray, b: np.ndarray, least: int, percent: int, apart: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(from, to, from, to) of passages that a and b share, ends included.
+
+    For two windows of one text, apart is b's place less a's; a token's own place is no match.
+    """
+    hit = np.isin(a, b)
+    if apart is not None:
+        both = np.concatenate([a, b[max(0, len(a) - apart) :]])  # a starts first
+        token, count = np.unique(both, return_counts=True)
+        hit &= np.isin(a, token[count > 1])
+    on = np.flatnonzero(hit)
     out = []
     for piece in np.split(on, np.flatnonzero(np.diff(on) > GAP) + 1):
         if not len(piece) or piece[-1] - piece[0] + 1 < least:
@@ -108,7 +129,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rid, s in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = keyed(np.asarray(s.values).view(np.uint64), least)
+                rows = keyed(np.asarray(s.values).view(np.uint64), least, percent)
                 if rows:
                     k, lo, hi = (np.array(x, np.int64) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), rid)), pa.array(lo), pa.array(hi)], ["key", "rid", "lo", "hi"])
@@ -120,8 +141,11 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
                 a, c = b.column(0)[k].as_py(), b.column(1)[k].as_py()
                 x, y = (np.asarray(b.column(i)[k].values) for i in (2, 3))
                 la, lb = b.column(4)[k].as_py(), b.column(5)[k].as_py()
-                for f, t, g, u in common(x, y, least, percent):
-                    if a != c or f + la != g + lb:
+                for f, t, g, u in common(x, y, least, percent, lb - la if a == c else None):
+                    # places of one text that overlap must repeat at their distance, as a period does
+                    far = g + lb - f - la
+                    n = min(t - f, u - g) + 1
+                    if a != c or f + la > u + lb or g + lb > t + la or far and 100 * (x[f : f + n] == y[g : g + n]).mean() >= percent:
                         rows += [(a, c, f + la, t + la + run), (c, a, g + lb, u + lb + run)]
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["rid", "other", "start", "end"])
