@@ -72,3 +72,5 @@ def test_whole_texts_and_kin():
     twice = " ".join(t[:60] + ["inserted"] * 30 + t[60:] + ["between"] * 9 + t)
     assert [round(x["coverage"], 6) for x in s.scan(twice) if x["license"] == "mit_text"] == [1, 1]
     assert not s.scan("Released under the Other License.")
+    assert [x["license"] for x in s.scan("Licensed under the Apache License, Version 2")] == ["apache_2_line"]
+    assert [x["license"] for x in s.scan("This work is licensed under the GNU Public License, version 3.")] == ["gpl_3_line"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW, BAND, LONG = 2, 6, 24
 WORD = re.compile(r"[A-Za-z0-9]+")
-# Words that do not name a license: a line must show all its others.
+# Words that do not name a license: a line must show one of its others, numbers aside.
 PLAIN = set("this work software program is are licensed released distributed dedicated under to into the a an of terms and license licence version v international unported universal free".split())
 # Well-known license notices.
 TEMPLATES = {
@@ -104,7 +104,7 @@ class Scanner:
         self.least = least
         self.words = {k: [w.lower() for w in WORD.findall(t)] for k, t in templates.items()}
         self.bag = {k: Counter(w) for k, w in self.words.items()}
-        self.names = {k: set(w) - PLAIN if len(w) < LONG else set() for k, w in self.words.items()}
+        self.names = {k: {x for x in w if not x.isdigit()} - PLAIN if len(w) < LONG else set() for k, w in self.words.items()}
         self.index, self.runs = defaultdict(list), defaultdict(list)
         for k, w in self.words.items():
             for i, p in fingerprints(w):
@@ -172,10 +172,10 @@ class Scanner:
             t = self.words[k]
             lo = max(0, diagonal - BAND)
             near = set(d[lo : max(0, diagonal + len(t) + BAND)])
-            if not self.names[k] <= near or sum(w in near for w in t) < self.least * len(t):
+            if sum(w in near for w in t) < self.least * len(t):
                 continue
             n, s, e = self.align(t, d, diagonal)
-            if n >= self.least * len(t) and self.names[k] <= set(d[s:e]):
+            if n >= self.least * len(t) and (not self.names[k] or self.names[k] & set(d[s:e])):
                 found[k].append((n / len(t), s, e))
         seeds = defaultdict(list)
         for i, p in enumerate(zip(d, d[1:], d[2:])):
