@@ -1,37 +1,71 @@
 """Helpers of this subpackage: written tables that cut lineage, hashed shingles, components.
 
-Written tables lie below the session's `spark.checkpoint.dir`; where that is unset, as in
-tests, below a folder made for the process.
+Written tables lie below the session's `spark.checkpoint.dir`. Where that is unset, a local
+session gets a folder made for the process; a cluster session gets an error, as its executors
+would each write to a disk of their own.
 """
 import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 M64 = (1 << 64) - 1
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+BATCH_CHARS = 2_000_000  # characters of text in a slice; a longer text is a slice of its own
 
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weft-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again."""
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a written table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """The same rows, written to the shared folder and read again; held gets the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, held: list[str]) -> None:
+    """Deletes the tables of held, which nothing reads any more."""
+    for path in held:
+        drop(spark, path)
+    held.clear()
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of batch and their texts in `column`, each of about BATCH_CHARS characters."""
+    texts = batch.column(column).to_pylist()
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "") + 64
+        if size >= BATCH_CHARS:
+            yield batch.slice(start, k + 1 - start), texts[start : k + 1]
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield batch.slice(start), texts[start:]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * MIX2
@@ -69,13 +103,20 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def words_of(text: str | None) -> list[bytes]:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text in UTF-8, A-Z lowered."""
+    return (text or "").encode().lower().split()
+
+
+def components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(id, label) of every id in edges (a, b): label is the smallest id reachable.
 
     Alternating large and small stars, each round written out. A round joins each edge
-    to one minimum a node, so hubs are for adaptive skew joins to split.
+    to one minimum a node, so hubs are for adaptive skew joins to split. keep gets the path of
+    the table that the result reads.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    spark, held = edges.sparkSession, []
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), held)
     last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -84,10 +125,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
+        old, held = held, []
+        e = cut(small.distinct(), held)
+        clear(spark, old)
         # order-free digest of the edges; equal twice means that only stars are left
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == last:
             break
         last = now
+    if keep is not None:
+        keep += held
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
