@@ -1,178 +1,388 @@
 """Repeated passages by compact windows of min-hashes.
 
 Tokens are hashes of five-word runs. Under a hash, the Cartesian tree of a text's tokens gives for
-each node its widest window; all subsequences of a window that hold the node share its min-hash.
-Windows under the three hashes of a table are joined on their intervals; the three minima of an
-intersection that is long enough are its key. All windows under a key meet each other, dealt to
-blocks: the tokens two windows share are cut at wide gaps and confirmed by similarity.
-A passage that repeats word for word meets in every table.
+each node its widest window: all subsequences of the window that hold the node, and start after the
+last equal token before it, have the node's token as their minimum. Windows with room for a passage
+are kept for each of HASHES hashes; two passages of similarity s meet under one hash with
+probability s, and repeated ones under all.
+
+Windows of one key (hash and token) are joined on their intervals: cut to the places they can share
+about their nodes, and confirmed by similarity on the tokens themselves.
+
+Under a key every window first meets only the key's leader. Confirmed texts form classes, and
+windows whose node lies in a confirmed passage are settled. After ROUNDS, windows under a key that
+are unsettled, or of different classes, meet in full, in blocks of BLOCK windows: the tokens around their nodes that both have are counted by a matrix product over the tokens that repeat in
+the block. Of two passages of similarity s the shorter one shares 2s / (1 + s) of its tokens; where
+`least` consecutive tokens about a node do, the similarity is computed on the spot. Only pairs that hold, and settle a window or join classes that
+the block has not joined yet, leave the block: none is lost, and no group of pairs is written out.
 """
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import Words, components, cut, mix, shingles
+from weft.llm.common import Words, clear, components, cut, mix, shingles, slices, words_of
 
-MISS, GAP = 1e-4, 12
-BLOCK = 500  # windows of a key in a block
+HASHES = 4
+GAP = 12  # tokens without a partner that end a passage
+ROUNDS = 1
+BLOCK = 1000
+GROUP = 400_000  # tokens that meet one text in a task, about
+SEEDS = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def tables(percent: int) -> int:
-    """Tables of three hashes, so that one aligned window at the threshold shares no key with a probability of at most MISS."""
-    p = (percent / 100) ** 3
-    return 1 if p == 1 else math.ceil(math.log(MISS) / math.log1p(-p))
+def sliding(v: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each `width` consecutive places."""
+    m, w = v, 1
+    while 2 * w <= width:
+        m, w = np.minimum(m[:-w], m[w:]), 2 * w
+    return np.minimum(m[: len(v) - width + 1], m[width - w : width - w + len(v) - width + 1])
 
 
-def seeds(count: int) -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 62, 3 * count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, node, right) of the Cartesian tree's nodes whose windows have at least `least` places.
 
+    Of equal tokens the first is the minimum. Such a node is the first minimum of some `least`
+    consecutive places, and so is the node that ends its window on either side.
+    """
+    none = np.empty(0, np.int64)
+    if len(v) < least:
+        return none, none, none
+    m = sliding(v, least)
+    # the first place of each minimum: sorted by value, then place
+    order = np.argsort(v, kind="stable")
+    ranks = np.empty(len(v), np.int64)
+    ranks[order] = np.arange(len(v))
+    c = np.unique(order[sliding(ranks, least)]) if len(m) else none
+    vals, at = v[c].tolist(), c.tolist()
+    lo, hi, stack = [0] * len(at), [len(v) - 1] * len(at), []
+    for i, x in enumerate(vals):
+        while stack and vals[stack[-1]] > x:
+            hi[stack.pop()] = at[i] - 1
+        lo[i] = at[stack[-1]] + 1 if stack else 0
+        stack.append(i)
+    lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+    wide = hi - lo + 1 >= least
+    return lo[wide], c[wide], hi[wide]
 
-def windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, node, right) of the Cartesian tree's nodes with at least `least` places, by left."""
-    out, todo = [], [(0, len(v))]
-    while todo:
-        a, b = todo.pop()
-        if b - a >= least:
-            low = np.flatnonzero(v[a:b] == v[a:b].min())
-            c = a + int(low[np.abs(low - (b - a) // 2).argmin()])  # of equal ones the middle, lest repeated lines make a chain
-            out.append((a, c, b - 1))
-            todo += [(a, c), (c + 1, b)]
-    return sorted(out)
-
-
-def met(x: list, y: list, least: int) -> list[tuple]:
-    """Intersections of at least `least` places: (left, right, nodes...) from (left, right, nodes...)."""
-    out, live, j = [], [], 0
-    for a in x:
-        while j < len(y) and y[j][0] <= a[1]:
-            live.append(y[j])
-            j += 1
-        live = [b for b in live if b[1] >= a[0] + least - 1]  # x is sorted by left
-        for b in live:
-            lo, hi = max(a[0], b[0]), min(a[1], b[1])
-            if hi - lo + 1 >= least:
-                out.append((lo, hi, *a[2:], *b[2:]))
-    return sorted(out)
-
-
-def keyed(s: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int]]:
-    """(key, left, right) of a text's joint windows."""
+
+def keyed(s: np.ndarray, least: int) -> np.ndarray:
+    """Rows of key, left, node, right of a text's windows.
+
+    Of windows of one key that overlap the widest stays."""
+    if len(s) < least:
+        return np.empty((0, 4), np.int64)
     out = []
-    count = tables(percent)
-    every = seeds(count)
     with np.errstate(over="ignore"):
-        for t in range(count):
-            joint = None
-            for seed in every[3 * t : 3 * t + 3]:
-                w = [(a, b, c) for a, c, b in windows(mix(s * seed), least)]
-                joint = w if joint is None else met(joint, w, least)
-            for lo, hi, *nodes in joint:
-                h = np.full(1, np.uint64(t + 1))
-                for c in nodes:
-                    h = mix(h * np.uint64(31) + s[c])
-                out.append((int(h.view(np.int64)[0]), lo, hi))
+        for i in range(HASHES):
+            lo, c, hi = windows(mix(s * SEEDS[i]), least)
+            key = mix(s[c] ^ (SEEDS[i] >> np.uint64(1)))
+            order = np.lexsort((lo, -(hi - lo), key))
+            keep, last = [], []
+            for k in order.tolist():
+                if not last or key[last[-1]] != key[k]:
+                    last = [k]
+                elif all(hi[j] < lo[k] or lo[j] > hi[k] for j in last):
+                    last.append(k)
+                else:
+                    continue
+                keep.append(k)
+            keep = np.array(keep, np.int64)
+            lo, c, hi, key = lo[keep], c[keep], hi[keep], key[keep]
+            out.append(np.stack([key.view(np.int64), lo, c, hi], 1))
+    return np.concatenate(out)
+
+
+def own_repeats(s: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(from, to) of the runs of at least `least` tokens that occur again, word for word, further on, and of those occurrences."""
+    order = np.argsort(s, kind="stable")
+    same = np.flatnonzero(s[order][1:] == s[order][:-1])
+    first, again = order[same], order[same + 1]
+    k = np.argsort(first)
+    first, far = first[k], (again - first)[k]
+    out = []
+    if len(first):
+        ends = np.flatnonzero((np.diff(first) != 1) | (np.diff(far) != 0))
+        for a, b in zip(np.r_[0, ends + 1], np.r_[ends, len(first) - 1]):
+            if b - a + 1 >= least:
+                f, t, d = int(first[a]), int(first[b]), int(far[a])
+                out += [(f, t), (f + d, t + d)]
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray, least: int, percent: int, apart: int | None = None) -> list[tuple[int, int, int, int]]:
+def common(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     """(from, to, from, to) of passages that a and b share, ends included.
 
-    For two windows of one text, apart is b's place less a's; a token's own place is no match.
-    """
-    hit = np.isin(a, b)
-    if apart is not None:
-        both = np.concatenate([a, b[max(0, len(a) - apart) :]])  # a starts first
-        token, count = np.unique(both, return_counts=True)
-        hit &= np.isin(a, token[count > 1])
-    on = np.flatnonzero(hit)
+    Places with a partner form pieces between gaps of more than GAP; a piece and its partner that
+    are not similar enough are tried again without what lies beyond their widest gaps."""
     out = []
-    for piece in np.split(on, np.flatnonzero(np.diff(on) > GAP) + 1):
-        if not len(piece) or piece[-1] - piece[0] + 1 < least:
-            continue
-        x = a[piece[0] : piece[-1] + 1]
-        at = np.flatnonzero(np.isin(b, x))
-        for q in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1):
-            if q[-1] - q[0] + 1 < least:
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        on = np.flatnonzero(np.isin(a[a0:a1], b[b0:b1])) + a0
+        for piece in np.split(on, np.flatnonzero(np.diff(on) > GAP) + 1):
+            if not len(piece) or piece[-1] - piece[0] + 1 < least:
                 continue
-            y = b[q[0] : q[-1] + 1]
-            both = len(np.intersect1d(x, y))
-            if 100 * both >= percent * (len(np.unique(x)) + len(np.unique(y)) - both):
-                out.append((int(piece[0]), int(piece[-1]), int(q[0]), int(q[-1])))
+            x = a[piece[0] : piece[-1] + 1]
+            at = np.flatnonzero(np.isin(b[b0:b1], x)) + b0
+            for q in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1):
+                if q[-1] - q[0] + 1 < least:
+                    continue
+                y = b[q[0] : q[-1] + 1]
+                ux, uy = np.unique(x), np.unique(y)
+                both = len(np.intersect1d(ux, uy, assume_unique=True))
+                f, t, g, u = int(piece[0]), int(piece[-1]), int(q[0]), int(q[-1])
+                if 100 * both >= percent * (len(ux) + len(uy) - both):
+                    out.append((f, t, g, u))
+                    continue
+                gap = np.diff(piece)
+                if len(gap) and gap.max() > 1:
+                    k = int(gap.argmax())
+                    for lo, hi in ((f, int(piece[k]) + 1), (int(piece[k + 1]), t + 1)):
+                        if hi - lo >= least:
+                            todo.append((lo, hi, g, u + 1))
+                else:
+                    gap = np.diff(q)
+                    if len(gap) and gap.max() > 1:
+                        k = int(gap.argmax())
+                        for lo, hi in ((g, int(q[k]) + 1), (int(q[k + 1]), u + 1)):
+                            if hi - lo >= least:
+                                todo.append((f, t + 1, lo, hi))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, end) by start, touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
+def confirmed(pairs: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
+    """(node, other, start, end): passages, as words, that pairs (a, b, la, ca, ha, lb, cb, hb) of windows share.
+
+    The windows are cut to what lies about their nodes in both, with a quarter and 16 tokens more.
+    The partners of one text are dealt to groups of about GROUP tokens; its tokens go to each."""
+    more = lambda x: (x * 1.25 + 16).cast("int")
+    near, far = F.least(F.col("ca") - F.col("la"), F.col("cb") - F.col("lb")), F.least(F.col("ha") - F.col("ca"), F.col("hb") - F.col("cb"))
+    p = pairs.withColumn("near", more(near)).withColumn("far", more(far))
+    for x in "ab":
+        p = p.withColumn(f"l{x}", F.greatest(f"l{x}", F.col(f"c{x}") - F.col("near"))).withColumn(f"h{x}", F.least(f"h{x}", F.col(f"c{x}") + F.col("far")))
+    quad = F.struct("la", "ca", "ha", "lb", "cb", "hb")
+    p = p.groupBy("a", "b").agg(F.collect_set(quad).alias("w"), F.sum(F.col("hb") - F.col("lb") + 1).alias("n"))
+    deal = p.groupBy("a").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("groups"))
+    p = p.join(deal, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
+    kind = "array<struct<la:int,ca:int,ha:int,lb:int,cb:int,hb:int>>"
+    side = p.select("a", "g", F.col("b").alias("node"), F.col("w").cast(kind).alias("w"))
+    lead = p.select("a", "g", F.explode("w").alias("w")).groupBy("a", "g").agg(F.collect_set(F.struct("w.la", "w.ha")).alias("w"))
+    zero = F.lit(0)
+    lead = lead.select("a", "g", F.col("a").alias("node"), F.transform("w", lambda x: F.struct(x["la"].alias("la"), zero.alias("ca"), x["ha"].alias("ha"), zero.alias("lb"), zero.alias("cb"), zero.alias("hb"))).cast(kind).alias("w"))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for b in batches:
+            for part, texts in slices(b, 4):
+                rows = []
+                for a, node, w, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), texts):
+                    s = shingles(hashes(words_of(t)), run)
+                    spans = merged([(x["la"], x["ha"] + 1) if a == node else (x["lb"], x["hb"] + 1) for x in w])
+                    rows.append(([x for x, _ in spans], [y - x for x, y in spans], np.concatenate([s[x:y] for x, y in spans]).view(np.int64)))
+                at, size, tok = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(at, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32())), pa.array(tok, pa.list_(pa.int64()))], ["a", "g", "node", "w", "at", "size", "tok"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, node = t["a"][0].as_py(), t["node"].to_pylist()
+        at, size, w = t["at"].to_pylist(), t["size"].to_pylist(), t["w"].to_pylist()
+        tok = [np.asarray(x.values, dtype=np.int64) for x in t["tok"]]
+
+        def piece(k, lo, hi):
+            start = 0
+            for x, n in zip(at[k], size[k]):
+                if x <= lo < x + n:
+                    return tok[k][start + lo - x : start + hi - x + 1]
+                start += n
+
+        first = node.index(a)
+        rows = []
+        for k, b in enumerate(node):
+            if k == first:
+                continue
+            found: list[tuple[int, int, int, int]] = []
+            for q in sorted(w[k], key=lambda q: (q["la"] - q["ha"], q["ca"], q["cb"])):
+                if any(f <= q["ca"] <= e and g <= q["cb"] <= u for f, e, g, u in found):
+                    continue
+                for f, e, g, u in common(piece(first, q["la"], q["ha"]), piece(k, q["lb"], q["hb"]), least, percent):
+                    found.append((f + q["la"], e + q["la"], g + q["lb"], u + q["lb"]))
+            for f, e, g, u in found:
+                rows += [(a, b, f, e + run), (b, a, g, u + run)]
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.table([pa.array(x, pa.int64()) for x in cols], ["node", "other", "start", "end"])
+
+    asked = side.union(lead).join(body, "node").select("a", "g", "node", "w", "text")
+    cells = asked.mapInArrow(cut_out, f"a long, g int, node long, w {kind}, at array<int>, size array<int>, tok array<long>")
+    return cells.groupBy("a", "g").applyInArrow(meet, "node long, other long, start long, end long")
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_passages, spans, component_id of every row.
 
-    spans are the row's passages of at least `words` words found elsewhere too, as word numbers
-    start:end (end exclusive, overlapping ones as one), comma-joined; component_id is the smallest
-    id reachable over shared passages. Null, empty and shorter texts have none. Rows equal in id and
-    text are one text, so they do not repeat each other; a null id takes part, and sorts last.
+    spans are the row's passages of at least `words` words found in another text too, or again, word
+    for word, in the same text; as word numbers start:end (end exclusive, overlapping ones as one),
+    comma-joined. component_id is the smallest id reachable over shared passages. Texts of different
+    ids that are equal, and long enough, are a passage as a whole. Null, empty and shorter texts have
+    none. Rows equal in id and text are one text, so they do not repeat each other; a null id takes
+    part, and sorts last. Other columns are not read. An empty table gives no rows.
     """
+    spark = docs.sparkSession
+    held: list[str] = []
     least = words - run + 1
+    kind = "array<struct<start:bigint,end:bigint>>"
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                got = []
-                for t in part.column(1).to_pylist():
-                    w = (t or "").encode().lower().split()
-                    got.append(shingles(hashes(w), run).view(np.int64) if len(w) >= words else np.empty(0, np.int64))
-                ends = np.cumsum([0] + [len(g) for g in got]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], ["rid", "s"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rid, s in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = keyed(np.asarray(s.values).view(np.uint64), least, percent)
-                if rows:
-                    k, lo, hi = (np.array(x, np.int64) for x in zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), rid)), pa.array(lo), pa.array(hi)], ["key", "rid", "lo", "hi"])
+            for part, texts in slices(b, 1):
+                n, repeats, cells = [], [], []
+                for t in texts:
+                    w = words_of(t)
+                    s = shingles(hashes(w), run) if len(w) >= words else np.empty(0, np.uint64)
+                    n.append(len(w))
+                    repeats.append([{"start": x, "end": y} for x, y in merged([(x, y + run) for x, y in own_repeats(s, least)])])
+                    cells.append(keyed(s, least))
+                ends = pa.array(np.cumsum([0] + [len(c) for c in cells]).astype(np.int32))
+                flat = np.concatenate(cells)
+                cols = [pa.array(flat[:, 0]), *(pa.array(flat[:, i].astype(np.int32)) for i in (1, 2, 3))]
+                wins = pa.StructArray.from_arrays(cols, ["key", "lo", "c", "hi"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(repeats, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.ListArray.from_arrays(ends, wins)], ["node", "n", "own", "wins"])
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k in range(b.num_rows):
-                a, c = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                x, y = (np.asarray(b.column(i)[k].values) for i in (2, 3))
-                la, lb = b.column(4)[k].as_py(), b.column(5)[k].as_py()
-                for f, t, g, u in common(x, y, least, percent, lb - la if a == c else None):
-                    # places of one text that overlap must repeat at their distance, as a period does
-                    far = g + lb - f - la
-                    n = min(t - f, u - g) + 1
-                    if a != c or f + la > u + lb or g + lb > t + la or far and 100 * (x[f : f + n] == y[g : g + n]).mean() >= percent:
-                        rows += [(a, c, f + la, t + la + run), (c, a, g + lb, u + lb + run)]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["rid", "other", "start", "end"])
-
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
-    text = cut(d.select("rid", "text").mapInArrow(tokens, "rid long, s array<long>").where(F.size("s") > 0)).dropDuplicates(["rid"])
-    text = cut(text)
-    keys = cut(text.mapInArrow(spread, "key long, rid long, lo long, hi long"))
-    many = keys.groupBy("key").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    seat = keys.join(many, "key").withColumn("own", F.pmod(F.xxhash64("rid", "lo"), F.col("blocks")).cast("int"))
-    seat = seat.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = seat.select("key", F.col("own").alias("p"), F.col("other").alias("q"), F.col("rid").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    right = seat.select("key", F.col("other").alias("p"), F.col("own").alias("q"), F.col("rid").alias("b"), "lo", "hi")
-    # windows of one place in one text under a key differ only in their ends
-    pairs = left.join(right, ["key", "p", "q"]).where("a < b or (a = b and la < lo)").select("a", "b", "la", "ha", "lo", "hi").distinct()
-    s = text.select(F.col("rid").alias("a"), F.col("s").alias("sa"))
-    p = pairs.join(s, "a").withColumn("sa", F.slice("sa", (F.col("la") + 1).cast("int"), (F.col("ha") - F.col("la") + 1).cast("int")))
-    p = p.join(s.toDF("b", "sb"), "b").withColumn("sb", F.slice("sb", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int")))
-    found = cut(p.select("a", "b", "sa", "sb", "la", "lo").mapInArrow(confirm, "rid long, other long, start long, end long").distinct())
-    spans = found.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("p"))
-    kind = "array<struct<start:bigint,end:bigint>>"
-    join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    spans = spans.withColumn("p", F.aggregate("p", F.array().cast(kind), join))
-    group = components(found.select(F.col("rid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "rid")
-    ids = d.select("rid", "id").distinct()
-    group = group.join(ids, "rid")
-    group = group.join(group.groupBy("label").agg(F.min("id").alias("least")), "label").select("rid", "least").dropDuplicates(["rid"])
-    out = d.select("id", "rid").join(spans, "rid", "left").join(group, "rid", "left")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("digest"))
+    reps = d.where("text is not null").groupBy("digest").agg(F.min("id").alias("id"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"), F.count("*").alias("rows"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), held)
+    one = d.join(reps.select("digest", F.col("id").alias("rep"), "node", "rows"), "digest").where("id <=> rep")
+    # of rows equal in id and text one is read; only those can repeat
+    text = one.where("rows = 1").select("node", "text").unionByName(one.where("rows > 1").select("node", "text").dropDuplicates(["node"]))
+    every = cut(text.mapInArrow(marked, f"node long, n long, own {kind}, wins array<struct<key:bigint,lo:int,c:int,hi:int>>"), held)
+    wins = every.select("node", F.inline("wins"))
+    many = cut(wins.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), held)
+    live = cut(wins.join(many, "key", "left_semi"), held)
+    body = cut(text.join(live.select("node").distinct(), "node", "left_semi"), held)
+    whole = every.where(F.col("n") >= words).join(reps.where("ids > 1").select("node"), "node", "left_semi").select("node", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
+    spans = cut(whole.union(every.select("node", F.inline("own"))), held)
+    facts, label = [spans], None
+    links = None
+    for r in range(ROUNDS + 1):
+        k = live
+        if r:
+            k = k.join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            seen = links.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("p"))
+            # a token lies in a passage if its words do
+            k = k.join(seen, "node", "left").withColumn("open", ~F.coalesce(F.exists("p", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"])), F.lit(False))).drop("p")
+            active = k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("z")).where("x <> y or z").select("key")
+            k = cut(k.join(active, "key", "left_semi"), held)
+            if k.isEmpty():
+                break
+        else:
+            k = k.withColumn("label", F.col("node")).withColumn("open", F.lit(True))
+        if r < ROUNDS:
+            lead = k.groupBy("key").agg(F.max_by(F.struct("node", "label", "open", "lo", "c", "hi"), F.struct("open", F.xxhash64(F.lit(r), "node"))).alias("l"))
+            p = k.join(lead, "key").where((F.col("node") != F.col("l.node")) & (F.col("open") | F.col("l.open") | (F.col("label") != F.col("l.label"))))
+            p = p.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.lo").alias("la"), F.col("l.c").alias("ca"), F.col("l.hi").alias("ha"), F.col("lo").alias("lb"), F.col("c").alias("cb"), F.col("hi").alias("hb"))
+        else:
+            p = _full(k, body, least, run, percent)
+        p = cut(p, held)
+        found = cut(confirmed(p, body, least, run, percent).distinct(), held)
+        facts.append(found.select("node", "start", "end"))
+        links = found if links is None else links.union(found)
+        label = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), held)
+    all_spans = facts[0]
+    for f in facts[1:]:
+        all_spans = all_spans.union(f)
+    p = all_spans.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("p"))
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
+    join = lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["end"] >= x["start"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
+    p = p.withColumn("p", F.aggregate("p", F.array().cast(kind), join))
     said = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("p").isNotNull(), F.size("p")).otherwise(0).cast("long").alias("n_passages"), F.coalesce(said, F.lit("")).alias("spans"), F.coalesce("least", "id").alias("component_id"))
+    group = reps.select("digest", "id", "node", "ids").join(every.select("node", "n"), "node").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    group = group.join(group.groupBy("label").agg(F.min("id").alias("least")), "label").join(p, "node", "left")
+    # shorter texts have no passages, so equal ones stay apart
+    linked = (F.col("n") >= words) & F.col("p").isNotNull()
+    group = cut(group.select("digest", F.when(linked, F.col("least")).alias("least"), F.when(F.col("p").isNotNull(), F.size("p")).otherwise(0).cast("long").alias("n_passages"), F.coalesce(said, F.lit("")).alias("spans")))
+    clear(spark, held)
+    out = d.select("id", "digest").join(group, "digest", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("least", "id").alias("component_id"))
+
+
+def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
+    """Pairs of windows of a key that share a passage about their nodes and join their classes, or settle one that is open."""
+    enough = int(np.ceil(least * 2 * percent / (100 + percent) - 1e-9))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for b in batches:
+            for part, texts in slices(b, 2):
+                near, rows = [], []
+                for w, t in zip(part.column(1).to_pylist(), texts):
+                    s = shingles(hashes(words_of(t)), run).view(np.int64)
+                    for x in w:
+                        near.append((s[max(x["lo"], x["c"] - least + 1) : min(x["hi"], x["c"] + least - 1) + 1]))
+                        rows.append(x)
+                node = np.repeat(part.column(0).to_numpy(), [len(w) for w in part.column(1)])
+                cols = [pa.array([x[c] for x in rows], kind) for c, kind in (("key", pa.int64()), ("label", pa.int64()), ("open", pa.bool_()), ("lo", pa.int32()), ("c", pa.int32()), ("hi", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *cols, pa.array(near, pa.list_(pa.int64()))], ["node", "key", "label", "open", "lo", "c", "hi", "near"])
+
+    def tile(t: pa.Table) -> pa.Table:
+        node, label, side = (t[c].to_numpy() for c in ("node", "label", "side"))
+        free = t["open"].to_numpy(zero_copy_only=False)
+        same = side[0] == 2
+        x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        near = t["near"].combine_chunks()
+        size = np.diff(near.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(node)), size)
+        token, at, count = np.unique(near.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        use = count[at] > 1
+        column = (np.cumsum(count > 1) - 1)[at[use]]
+        owner = owner[use]
+        where = np.full(len(at), -1)
+        where[use] = column  # column of each token in the block's order, -1 if it has it once
+        total = int(column.max()) + 1 if len(column) else 0
+        has = np.zeros((len(node), total + 1), np.uint8)  # the last column stays empty
+        has[owner, column] = 1
+        shared = np.zeros((len(x), len(y)), np.float32)
+        for z in range(0, total, 4096):
+            m = has[:, z : z + 4096].astype(np.float32)
+            shared += m[x] @ m[y].T
+        first = np.cumsum(size) - size
+        tokens = near.flatten().to_numpy()
+        fits = shared >= enough
+        fits &= node[x, None] != node[None, y]
+        label, free = label.copy(), free.copy()
+        out = []
+        for i, v in [(x[u], y[fits[u]]) for u in np.flatnonzero(fits.any(1))] + ([] if same else [(y[u], x[fits[:, u]]) for u in np.flatnonzero(fits.any(0))]):
+            mine = slice(first[i], first[i] + size[i])
+            v = v[free[i] | free[v] | (label[v] != label[i])]
+            run_sum = np.cumsum(np.pad(has[v[:, None], where[mine][None, :]], ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+            dense = (run_sum[:, least:] - run_sum[:, :-least]).max(1) >= enough if size[i] >= least else np.zeros(len(v), bool)
+            for j in v[dense]:
+                if not (free[i] or free[j] or label[i] != label[j]):
+                    continue
+                if common(tokens[mine], tokens[first[j] : first[j] + size[j]], least, percent):
+                    out.append((i, j))
+                    free[i] = free[j] = False
+                    label[label == label[j]] = label[i]
+        pairs = np.array(out, np.int64).reshape(-1, 2).T
+        cols = [t[c].to_numpy()[p] for p in pairs for c in ("node", "lo", "c", "hi")]
+        return pa.table([cols[0], cols[4], *cols[1:4], *cols[5:]], ["a", "b", "la", "ca", "ha", "lb", "cb", "hb"])
+
+    w = k.groupBy("node").agg(F.collect_list(F.struct("key", "label", "open", "lo", "c", "hi")).alias("w"))
+    k = w.join(body, "node").select("node", "w", "text").mapInArrow(around, "node long, key long, label long, open boolean, lo int, c int, hi int, near array<long>")
+    many = w.select(F.explode("w.key").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    k = k.join(many, "key").withColumn("own", F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    k = k.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "node", "label", "open", "lo", "c", "hi", "near")
+    return k.groupBy("key", "p", "q").applyInArrow(tile, "a long, b long, la int, ca int, ha int, lb int, cb int, hb int")
