@@ -16,9 +16,18 @@ def brute(ids, x, least=0.95):
         label = new
 
 
-@pytest.mark.parametrize("path", ["/root/testdata/sf0.01/embeddings.parquet", "/root/testdata/check_s/embeddings.parquet"])
+def bigger(spark):
+    """Seeded clusters about a shared mean direction, one of which holds a third of all rows."""
+    g = np.random.default_rng(4)
+    centre = g.standard_normal((400, 32)) + 1
+    which = np.where(g.random(4000) < 1 / 3, 0, g.integers(0, 400, 4000))
+    x = centre[which] + g.standard_normal((4000, 32)) * g.choice([0.02, 0.25, 0.4], 4000)[:, None]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("path", ["/root/testdata/sf0.01/embeddings.parquet", None])
 def test_equals_brute_force(spark, path):
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path) if path else bigger(spark)
     rows = [r for r in df.collect() if r.embedding and all(c is not None and np.isfinite(c) for c in r.embedding) and any(r.embedding)]
     want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64))
     got = [tuple(r) for r in near_embeddings(df).collect()]

@@ -1,9 +1,10 @@
 import random
+import time
 
 import numpy as np
 
 from weft.llm.common import Words, shingles
-from weft.llm.passages import keyed, repeated_passages
+from weft.llm.passages import keyed, repeated_passages, windows
 
 
 def test_planted(spark):
@@ -64,11 +65,29 @@ def test_recall_of_short_near_passages():
         other = list(base)
         other[g.randrange(5, 45)] = word()  # similarity of at least 0.8
         texts = ([word() for _ in range(30)] + t + [word() for _ in range(30)] for t in (base, other))
-        x, y = ({k for k, _, _ in keyed(shingles(Words()(t), 5), 46, 80)} for t in texts)
+        x, y = (set(keyed(shingles(Words()(t), 5), 46)[:, 0].tolist()) for t in texts)
         met += bool(x & y)
-    assert met == 200
+    assert met >= 196
 
 
 def test_repeated_lines_stay_few():
     line = np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    assert len(keyed(np.tile(line, 100), 46, 80)) < 100_000
+    assert len(keyed(np.tile(line, 1000), 46)) < 5000
+
+
+def test_windows_are_those_of_the_tree():
+    """Against every subsequence: its first minimum is the node of exactly one window that holds it."""
+    g = np.random.default_rng(2)
+    for n, top in ((30, 5), (40, 1000), (25, 2)):
+        v = g.integers(0, top, n).astype(np.uint64)
+        lo, c, hi = windows(v, 6)
+        for a in range(n):
+            for b in range(a + 6, n + 1):
+                node = a + int(v[a:b].argmin())
+                assert ((c == node) & (lo <= a) & (hi >= b - 1)).sum() == 1
+
+
+def test_very_long_repeated_line():
+    t = time.time()
+    keyed(np.tile(np.arange(1, 11, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 2000), 46)
+    assert time.time() - t < 5

@@ -27,14 +27,13 @@ def test_battery(spark):
 
     g = random.Random(3)
     raw = [base64.b64encode(g.randbytes(30)).decode().rstrip("=") for _ in range(200)]
-    raw = [x for x in raw if re.search("[0-9]", x)]
-    plain = ["Chapter1Chapter1Chapter1Chapter1", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzB1", "A1b2A1b2A1b2A1b2A1b2A1b2A1b2", "thisIsAVeryVeryLongNameOfAMethod1"]
+    plain = ["getUserAccountById2FromCache", "Sha256MessageDigestImpl", "Base64EncoderOutputStream", "word2vecgooglenews300model", "Chapter1Chapter1Chapter1Chapter1", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzB1", "A1b2A1b2A1b2A1b2A1b2A1b2A1b2", "thisIsAVeryVeryLongNameOfAMethod1"]
     texts = [f"é see {x} here" for x in raw + plain] + ["words only, thisisaverylongwordwithoutdigits"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in scan(df).collect()}
     hits = [got[i] == f"random:6:{6 + len(x)}" for i, x in enumerate(raw)]
     assert sum(hits) > 0.9 * len(raw)
-    assert not any(got[len(raw) + i] for i in (0, 1, 2, 4))
+    assert not any(got[len(raw) + i] for i in range(len(plain) + 1))
 
 
 def test_redact(spark):

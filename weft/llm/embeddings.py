@@ -89,7 +89,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         m = table["m"].to_numpy()
         x = _unit(table["raw"].to_pylist())
         q, s, r = _quantised(x)
-        q = q.astype(np.float32)  # sums of int8 products below 2**24 are exact for up to 1040 components
+        q = q.astype(np.float32)  # sums of int8 products below 2**24 are exact for up to 1040 components; beyond, slack has their rounding
         t = int(table["t"][0].as_py())
         same = side[0] == 2
         left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -105,7 +105,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         for k in range(0, len(left), 256):
             i = left[k : k + 256]
             about = (q[i] @ q[right].T).astype(np.float64) * s[i, None] * s[right]
-            slack = r[i, None] + r[right] * (1 + r[i, None]) + 1e-5 * (q.shape[1] > 1040)
+            slack = r[i, None] + r[right] * (1 + r[i, None]) + 1.1 * q.shape[1] * 2.0**-24 * (q.shape[1] > 1040)
             a, b = np.nonzero(about + slack >= least)
             a, b = i[a], right[b]
             if same:

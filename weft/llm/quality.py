@@ -78,18 +78,23 @@ def _matrix(docs: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, SIZE).astype(np.float64)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
+    """The model, from at most `positives` and `unlabelled` documents, one row of each doc_id.
+
+    The prior is the share of label 1 in the training folds, which takes the labelled rows for a
+    fair sample of all."""
     lab = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     prior = lab.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     order = F.xxhash64("doc_id")
-    ids = lab.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(POSITIVES)
-    # both samples are bounded by their limits
-    pos = _matrix(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    there = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct()
+    ids = lab.where("quality = 1").select("doc_id").join(there, "doc_id", "left_semi").orderBy(order, "doc_id").limit(positives)
+    # a repeated id gives one row, so both samples are bounded by their limits
+    sample = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pos = _matrix(sample(ids))
     if not len(pos):
         return np.zeros(SIZE), np.inf
-    ids = docs.select("doc_id").where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(UNLABELLED)
-    unl = _matrix(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    unl = _matrix(sample(there.where("doc_id is not null").orderBy(order, "doc_id").limit(unlabelled)))
     if not len(unl):
         return np.zeros(SIZE), np.inf
     return fit(pos, unl, min(prior, 0.99))

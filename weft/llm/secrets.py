@@ -1,8 +1,9 @@
 """Secret scans, native: base kinds by pattern, others by a battery of randomness tests.
 
-Tokens of 20 or more characters in a hexadecimal, base-32 or base-64 alphabet are tested for
-uniformity, runs and serial correlation; those not shown to be non-random are spans of kind
-`random` unless they overlap a base span.
+Tokens of 20 or more characters are read in the smallest alphabet that holds them: hexadecimal,
+base 32, base 36, base 62 or base 64. They are spans of kind `random`, unless they overlap a base
+span, if they are shown not to be words, with the false discoveries of secrets in a text held at a
+level, and if tests of uniformity, runs and serial correlation do not show them to be non-random.
 
 Null texts count as empty; every row gives a row; repeated ids are kept.
 """
@@ -19,8 +20,10 @@ KINDS = {
 # Alphabets of the inferred encodings, and what a candidate token is.
 HEX = "0123456789abcdef"
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+B36 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+WORD, CHANGE = 0.45, 0.12  # rates of words, see _words
 TOKEN = (r"([A-Za-z0-9+/_-]{20,}+)", 1, 20)
 
 
@@ -46,16 +49,32 @@ def _normal_tail(z: Column) -> Column:
 
 
 def _encoding(t: Column) -> Column:
-    """The alphabet a token seems to be written in; null for words and the like."""
-    both = t.rlike("[0-9]") & t.rlike("[A-Za-z]")
+    """The smallest alphabet that holds a token; null for tokens of one case without digits, which are words."""
+    digit, one_case = t.rlike("[0-9]"), t.rlike("^([a-z0-9]+|[A-Z0-9]+)$")
     return (
-        F.when(both & t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX))
-        .when(both & t.rlike("^[A-Z2-7]+$"), F.lit(B32))
-        .when(both & t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("^[A-Za-z0-9]+$"), F.lit(B62))
-        .when(both & t.rlike("[a-z]") & t.rlike("[A-Z]"), F.lit(B64))
+        F.when(digit & t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX))
+        .when(digit & t.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), F.lit(B32))
+        .when(digit & one_case & t.rlike("[A-Za-z]"), F.lit(B36))
+        .when(t.rlike("[a-z]") & t.rlike("[A-Z]") & t.rlike("^[A-Za-z0-9]+$"), F.lit(B62))
+        .when(t.rlike("[a-z]") & t.rlike("[A-Z]"), F.lit(B64))
     )
 
 
+def _words(x: Column) -> Column:
+    """A p-value for the hypothesis that token x.t is made of words.
+
+    In mixed case, words have WORD of their neighbours both in lower case, or more; in one case, neighbours
+    change between letter and digit with a rate of CHANGE, or less. Normal tails with continuity, so that longer tokens show more.
+    """
+    m = F.length(x["t"]) - 1.0
+    chars = F.split(x["raw"], "")
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.struct(a.rlike("[a-z]").alias("a"), b.rlike("[a-z]").alias("b"), (a.rlike("[0-9]") != b.rlike("[0-9]")).alias("c")))
+    low = F.size(F.filter(pairs, lambda v: v["a"] & v["b"])) + 0.5
+    changes = F.size(F.filter(pairs, lambda v: v["c"])) - 0.5
+    z = lambda got, rate: (got - m * rate) / F.sqrt(m * rate * (1 - rate))
+    return F.when(x["a"].isin(B62, B64), _normal_tail(-z(low, WORD))).otherwise(_normal_tail(z(changes, CHANGE)))
+
+
 def _battery(x: Column) -> Column:
     """Smallest of three p-values times three, for the hypothesis that x.t is uniform over x.a.
 
@@ -77,23 +96,21 @@ def _battery(x: Column) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(_normal_tail(chi_z), 2 * _normal_tail(run_z), 2 * _normal_tail(serial_z)))
 
 
-def random_spans(text: Column, level: float = 0.05) -> list[tuple[str, Column]]:
-    """Steps (column name, expression) that end in column `random`: tokens not shown to be non-random.
+def random_spans(text: Column, level: float = 0.05, uniform: float = 0.001) -> list[tuple[str, Column]]:
+    """Steps (column name, expression) that end in column `random`: the secrets among the tokens.
 
-    Within a text, tokens are tested together: p-values are weighted by length, since longer
-    tokens give the tests more power, and the false discoveries of "not random" are held at
-    `level` (step-up procedure). Tokens so discovered are dropped, the rest are spans.
+    Within a text, tokens are tested together: the false discoveries of "not words" are held at
+    `level` (step-up procedure). Of those, tokens whose battery's p-value is below `uniform` are no secrets.
     """
-    c = F.col
     tok = F.filter(F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("t"))), lambda x: _encoding(x["t"]).isNotNull())
-    named = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(_encoding(x["t"]) == HEX, F.lower(x["t"])).otherwise(F.translate(x["t"], "-_", "+/")).alias("t"), _encoding(x["t"]).alias("a")))
-    index = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), x["a"].alias("a"), F.transform(F.split(x["t"], ""), lambda ch: F.position(ch, x["a"]) - 1).alias("i")))
-    tested = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.size(x["i"]).cast("double").alias("n"), _battery(x).alias("p")))
-    mean = F.aggregate("_c", F.lit(0.0), lambda s, x: s + x["n"]) / F.greatest(F.size("_c"), F.lit(1))
-    weighed = F.array_sort(F.transform("_c", lambda x: F.struct((x["p"] * c("_m") / x["n"]).alias("q"), x["s"].alias("s"), x["e"].alias("e"))))
+    plain = lambda t, a: F.when(a == HEX, F.lower(t)).when(a.isin(B32, B36), F.upper(t)).otherwise(F.translate(t, "-_", "+/"))
+    named = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("raw"), plain(x["t"], _encoding(x["t"])).alias("t"), _encoding(x["t"]).alias("a")))
+    index = F.transform("_c", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["raw"].alias("raw"), x["t"].alias("t"), x["a"].alias("a"), F.transform(F.split(x["t"], ""), lambda ch: F.position(ch, x["a"]) - 1).alias("i")))
+    tested = F.array_sort(F.transform("_c", lambda x: F.struct(_words(x).alias("q"), x["s"].alias("s"), x["e"].alias("e"), _battery(x).alias("p"))))
     found = F.coalesce(F.array_max(F.transform("_c", lambda x, i: F.when(x["q"] <= level * (i + 1) / F.size("_c"), i + 1).otherwise(0))), F.lit(0))
-    left = F.transform(F.slice("_c", c("_k") + 1, F.greatest(F.size("_c"), F.lit(1))), lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), F.lit("random").alias("k"), x["e"].alias("e"), (x["e"] - x["s"]).alias("p")))
-    return [("_c", spans(text, "_token")), ("_c", tok), ("_c", named), ("_c", index), ("_c", tested), ("_m", mean), ("_c", weighed), ("_k", found), ("random", left)]
+    kept = F.filter(F.slice("_c", F.lit(1), F.col("_k")), lambda x: x["p"] >= uniform)
+    left = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), F.lit("random").alias("k"), x["e"].alias("e"), (x["e"] - x["s"]).alias("p")))
+    return [("_c", spans(text, "_token")), ("_c", tok), ("_c", named), ("_c", index), ("_c", tested), ("_k", found), ("random", left)]
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
