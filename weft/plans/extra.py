@@ -15,20 +15,6 @@ def edges(s, d) -> DataFrame:
     return t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
-def pagerank(e: DataFrame, rounds: int) -> DataFrame:
-    """rank = 0.15 + 0.85 * sum(rank / out-degree), from 1.0; the mass of dangling nodes is lost."""
-    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    links = e.join(e.groupBy("src").agg(F.count("*").alias("deg")), "src")
-    rank = ids.withColumn("rank", F.lit(1.0))
-    for _ in range(rounds):
-        got = links.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(0.85 * F.col("rank") / F.col("deg")).alias("g"))
-        rank = ids.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.coalesce("g", F.lit(0.0)) + 0.15).alias("rank"))
-    return rank.withColumn("rank", F.round("rank", 6))
-
-
-_STEP = "r{n} AS (SELECT i.id, coalesce(g.g,0)+0.15::DOUBLE AS rank FROM i LEFT JOIN (SELECT dst, sum(0.85::DOUBLE*rank/deg) AS g FROM l JOIN r{m} ON src=id GROUP BY dst) g ON g.dst=i.id)"
 QUERIES = {
     "url_parse": (lambda s, d: url_parts(t(s, d, "pages")), f"SELECT url, nullif(regexp_extract(url,'{URL}',1),'') AS protocol, nullif(regexp_extract(url,'{URL}',2),'') AS host, nullif(regexp_extract(url,'{URL}',3),'') AS port, CASE WHEN regexp_matches(url,'{URL}') THEN coalesce(nullif(regexp_extract(url,'{URL}',4),''),'/') ELSE url END AS path FROM pages"),
-    "title_extract": (lambda s, d: t(s, d, "pages").select("url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title")), "SELECT url, trim(regexp_extract(html,'<title>([^<]*)</title>',1)) AS title FROM pages"),
-    "pagerank_fixed": (lambda s, d: pagerank(edges(s, d), 3), "WITH e AS (SELECT DISTINCT 'c'||o_custkey AS src,'s'||l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey=o_orderkey), i AS (SELECT src AS id FROM e UNION SELECT dst FROM e), l AS (SELECT *, count(*) OVER (PARTITION BY src) AS deg FROM e), r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM i), " + ", ".join(_STEP.format(n=k, m=k - 1) for k in (1, 2, 3)) + " SELECT id, round(rank,6) AS rank FROM r3"),
 }

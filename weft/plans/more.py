@@ -3,7 +3,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from weft.functions import text, web
-from weft.plans import search as S
+from weft.operators.storage import checkpointed
 from weft.plans.extra import edges, url_parts
 from weft.sources.tables import table as t
 
@@ -17,42 +17,33 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def field_weights(pages: DataFrame) -> DataFrame:
-    """(url, term, weight): words of titles, headings and URLs by the field they stand in."""
-    part = lambda col, w: pages.select("url", F.explode(F.filter(text.tokens(col), lambda x: x.rlike("^[a-z]+$"))).alias("term"), F.lit(w).alias("w"))
-    parts = [part(F.array_join(F.regexp_extract_all("html", F.lit(f"<{tag}>(.*?)</{tag}>"), F.lit(1)), " "), w) for tag, w in web.WEIGHTS.items()]
-    parts.append(part(F.col("url"), web.URL_WEIGHT).where("term not in ('http', 'https')"))
-    return reduce(DataFrame.union, parts).groupBy("url", "term").agg(F.sum("w").alias("weight"))
+    """(url, term, weight): words of titles, headings and URLs by the field they stand in, in one pass over the pages."""
+    words = lambda col: F.filter(text.tokens(col), lambda x: x.rlike("^[a-z]+$"))
+    weighed = lambda terms, w: F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
+    parts = [weighed(words(F.array_join(F.regexp_extract_all("html", F.lit(f"<{tag}>(.*?)</{tag}>"), F.lit(1)), " ")), w) for tag, w in web.WEIGHTS.items()]
+    parts.append(weighed(F.filter(words(F.col("url")), lambda x: ~x.isin("http", "https")), web.URL_WEIGHT))
+    return pages.select("url", F.inline(F.concat(*parts))).groupBy("url", "term").agg(F.sum("w").alias("weight"))
 
 
-def page_info(pages: DataFrame) -> DataFrame:
-    """The title is the URL; the abstract is the page's title, or a fixed text without one."""
-    title = F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit(""))
-    return pages.select("url", F.col("url").alias("title"), F.coalesce(title, F.lit("No Information Available")).alias("abstract"))
+def pagerank_until(e: DataFrame, step: float = 0.01, share: float = 0.8, most: int | None = None) -> DataFrame:
+    """PageRank from 1.0 until `share` of the nodes move less than `step`: (id, rank).
 
-
-def pagerank_until(e: DataFrame, step: float = 0.01, share: float = 0.8, most: int = 50) -> DataFrame:
-    """PageRank from 1.0 until `share` of the nodes move less than `step`, or `most` rounds.
-
-    Every round is a checkpoint in the folder of spark.checkpoint.dir, so plans stay small.
+    The mass of dangling nodes is lost. With `most`, ranks that have not settled after so many rounds
+    raise an error. Every round is a checkpoint in the folder of spark.checkpoint.dir, so plans stay small.
     """
-    spark = e.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        spark.sparkContext.setCheckpointDir(base)
-    elif not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
-    links = e.join(e.groupBy("src").agg(F.count("*").alias("deg")), "src").checkpoint()
+    links = checkpointed(e.join(e.groupBy("src").agg(F.count("*").alias("deg")), "src").repartition("src"))
     ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-    rank = ids.withColumn("rank", F.lit(1.0)).withColumn("prev", F.lit(0.0)).checkpoint()
-    for _ in range(most):
+    rank = checkpointed(ids.withColumn("rank", F.lit(1.0)).withColumn("prev", F.lit(0.0)))
+    rounds = 0
+    while True:
         got = links.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(0.85 * F.col("rank") / F.col("deg")).alias("g"))
-        rank = rank.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.coalesce("g", F.lit(0.0)) + 0.15).alias("rank"), F.col("rank").alias("prev")).checkpoint()
+        rank = checkpointed(rank.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.coalesce("g", F.lit(0.0)) + 0.15).alias("rank"), F.col("rank").alias("prev")))
         still = rank.agg(F.avg((F.abs(F.col("rank") - F.col("prev")) < step).cast("double"))).first()[0]
         if still is None or still >= share:
-            break
-    return rank.select("id", F.round("rank", 6).alias("rank"))
+            return rank.select("id", F.round("rank", 6).alias("rank"))
+        rounds += 1
+        if rounds == most:
+            raise RuntimeError(f"after {most} rounds {still:.2%} of the nodes had settled")
 
 
 def _upper(batches):
@@ -77,10 +68,7 @@ QUERIES = {
     "kv_table_summary": (lambda s, d: reduce(DataFrame.union, (t(s, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in TABLES)), " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in TABLES)),
     "letter_hash": (lambda s, d: t(s, d, "pages").select("url", web.letter_hash(F.col("url")).alias("h")), "WITH b AS (SELECT page_id, url, i, ('0x'||substr(sha1(url),2*i+1,2))::INT AS b FROM pages, range(20) r(i)), n AS (SELECT *, CASE WHEN b=0 THEN 255 WHEN b>127 THEN b-1 ELSE b END AS n FROM b) SELECT url, string_agg(chr((97+n%26)::INT)||chr((97+2*(n//26))::INT),'' ORDER BY i) AS h FROM n GROUP BY page_id, url"),
     "key_encode": (lambda s, d: t(s, d, "pages").select("url", web.key_encode(F.col("url")).alias("k")), f"SELECT url, array_to_string(list_transform(string_split(url,''), lambda c: {_KEEP}),'') AS k FROM pages"),
-    "extension_filter": (lambda s, d: t(s, d, "pages").select("url").where(web.fetchable(F.col("url"))), "SELECT url FROM pages WHERE NOT regexp_matches(url,'\\.(" + "|".join(web.SKIPPED) + ")$')"),
     "robots_decision": (lambda s, d: url_parts(t(s, d, "pages")).select("url", web.allowed(F.col("path"), RULES).alias("ok")), "SELECT url, " + _ALLOWED + " AS ok FROM (SELECT url, regexp_extract(url,'^[^/].*?://[^/]*(/.*)$',1) AS path FROM pages)"),
     "field_weights": (lambda s, d: field_weights(t(s, d, "pages")), f"SELECT url, term, sum(w)::BIGINT AS weight FROM ({_FIELDS}) WHERE regexp_matches(term,'^[a-z]+$') GROUP BY ALL"),
-    "lexicon_semi_join": (lambda s, d: S.postings(t(s, d, "pages")).select("term").distinct().join(t(s, d, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("term")), "term", "left_semi"), f"SELECT DISTINCT term FROM (SELECT unnest({_WORDS.format(x='html')}) AS term FROM pages) WHERE regexp_matches(term,'^([a-z]+|[0-9]{{1,3}})$') AND length(term)<=100 AND term IN (SELECT unnest({_WORDS.format(x='text')}) FROM benchmark)"),
-    "page_info": (lambda s, d: page_info(t(s, d, "pages")), "SELECT url, url AS title, coalesce(nullif(trim(regexp_extract(html,'<title>([^<]*)</title>',1)),''),'No Information Available') AS abstract FROM pages"),
     "pagerank_until": (lambda s, d: pagerank_until(edges(s, d)), None),
 }

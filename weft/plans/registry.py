@@ -2,10 +2,9 @@
 from pyspark.sql import functions as F
 from weft.operators import collections as C
 from weft.plans import search as S
-from weft.plans import extra, more
+from weft.plans import engine, extra, more
 from weft.sources.tables import table as t
 
-TERMS = ["the", "of", "that"]
 _P = "[\\t\\r\\n.,:;!?’''\"()-]"
 _POST = f"""t AS (SELECT url, unnest(string_split_regex(lower(regexp_replace(regexp_replace(html,'<.*?>',' ','g'),'{_P}',' ','g')),' +')) AS term FROM pages),
 c AS (SELECT term,url,count(*) AS c FROM t WHERE regexp_matches(term,'^([a-z]+|[0-9]{{1,3}})$') AND length(term)<=100 GROUP BY ALL),
@@ -18,11 +17,6 @@ def _kv(s, d, tab, k, v):
 
 QUERIES = {
     "inverted_index": (lambda s, d: S.postings(t(s, d, "pages")).withColumn("tf", F.round("tf", 6)), f"WITH {_POST} SELECT term,url,c,round(tf,6) AS tf FROM p"),
-    "search_ranked": (lambda s, d: S.search(t(s, d, "pages"), TERMS), f"""WITH {_POST}, q AS (SELECT * FROM p WHERE term IN ('the','of','that')),
-i AS (SELECT term, ln((SELECT count(*) FROM pages)//count(*))/ln(500) AS idf FROM q GROUP BY term),
-r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf DESC,url) AS r FROM q)
-SELECT url, round(sum(tf*idf),6) AS score FROM r JOIN i USING (term) WHERE r<=200 AND idf<>0 GROUP BY url ORDER BY score DESC,url LIMIT 200"""),
-    "document_frequency": (lambda s, d: S.postings(t(s, d, "pages")).groupBy("term").agg(F.count("*").alias("df")), f"WITH {_POST} SELECT term,count(*) AS df FROM p GROUP BY term"),
     "pair_join": (lambda s, d: C.pair_join(_kv(s, d, "customer", "c_custkey", "c_name"), _kv(s, d, "orders", "o_custkey", "o_orderkey")), "SELECT c_custkey::VARCHAR AS k, c_name||','||o_orderkey AS v FROM customer JOIN orders ON c_custkey=o_custkey"),
     "pair_cogroup": (lambda s, d: C.cogroup(_kv(s, d, "customer", "c_custkey", "c_name"), _kv(s, d, "orders", "o_custkey", "o_orderkey")), """WITH a AS (SELECT c_custkey::VARCHAR AS k, string_agg(c_name,',' ORDER BY c_name) AS x FROM customer GROUP BY 1), b AS (SELECT o_custkey::VARCHAR AS k, string_agg(o_orderkey::VARCHAR,',' ORDER BY o_orderkey::VARCHAR) AS y FROM orders GROUP BY 1)
 SELECT k, '['||coalesce(x,'')||'],['||coalesce(y,'')||']' AS v FROM a FULL JOIN b USING (k)"""),
@@ -36,6 +30,5 @@ SELECT k, '['||coalesce(x,'')||'],['||coalesce(y,'')||']' AS v FROM a FULL JOIN
     "kv_range_scan": (lambda s, d: t(s, d, "orders").where("o_orderkey >= 100 and o_orderkey < 300").select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey,o_orderstatus FROM orders WHERE o_orderkey>=100 AND o_orderkey<300"),
     "kv_last_write_wins": (lambda s, d: t(s, d, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value")), "SELECT user_id,event_type,arg_max(value,event_id) AS value FROM events GROUP BY ALL"),
     "kv_view_page": (lambda s, d: t(s, d, "customer").where("c_name >= 'Customer'").orderBy("c_name", "c_custkey").limit(10).select("c_custkey", "c_name"), "SELECT c_custkey,c_name FROM customer WHERE c_name >= 'Customer' ORDER BY c_name,c_custkey LIMIT 10"),
-    "anti_join": (lambda s, d: t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
 }
-QUERIES |= extra.QUERIES | more.QUERIES
+QUERIES |= extra.QUERIES | more.QUERIES | engine.QUERIES

@@ -1,5 +1,5 @@
-"""Inverted index and ranked retrieval."""
-from pyspark.sql import DataFrame, Window as W, functions as F
+"""Inverted index."""
+from pyspark.sql import DataFrame, functions as F
 from weft.functions.text import tokens
 
 
@@ -8,14 +8,3 @@ def postings(pages: DataFrame) -> DataFrame:
     c = pages.select("url", F.explode(tokens(F.col("html"))).alias("term")).where("length(term) <= 100").groupBy("term", "url").agg(F.count("*").alias("c"))
     top = c.groupBy("term").agg(F.max("c").alias("m"))
     return c.join(top, "term").select("term", "url", "c", (F.lit(0.4) + F.lit(0.6) * F.col("c") / F.col("m")).alias("tf"))
-
-
-def search(pages: DataFrame, terms: list[str], cap: int = 200, limit: int = 200) -> DataFrame:
-    """OR-sum of tf * log500(N div df), at most `cap` postings a term; ties by url."""
-    p = postings(pages).where(F.col("term").isin(terms))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    n = pages.agg(F.count("*").alias("n"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log(F.floor(F.col("n") / F.col("df")).cast("double")) / F.log(F.lit(500.0))).alias("idf")).where("idf <> 0")
-    rank = F.row_number().over(W.partitionBy("term").orderBy(F.desc("tf"), "url"))
-    s = p.withColumn("r", rank).where(F.col("r") <= cap).join(F.broadcast(idf), "term")
-    return s.groupBy("url").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score")).orderBy(F.desc("score"), "url").limit(limit)
