@@ -9,11 +9,17 @@ probability s, and repeated ones under all.
 Windows of one key (hash and token) are joined on their intervals: cut to the places they can share
 about their nodes, and confirmed by similarity on the tokens themselves.
 
+Of two passages of similarity s the shorter one shares 2s / (1 + s) of its distinct tokens. So each
+window has a sketch, BITS bits set by the tokens fewer than `least` places from its node, and two
+windows are compared only if their sketches have as many bits in common as a passage of `least`
+tokens about the node leaves but for collisions (MISS).
+
 Under a key every window first meets only the key's leader. Confirmed texts form classes, and
 windows whose node lies in a confirmed passage are settled. After ROUNDS, windows under a key that
-are unsettled, or of different classes, meet in full, in blocks of BLOCK windows: the tokens around their nodes that both have are counted by a matrix product over the tokens that repeat in
-the block. Of two passages of similarity s the shorter one shares 2s / (1 + s) of its tokens; where
-`least` consecutive tokens about a node do, the similarity is computed on the spot. Only pairs that hold, and settle a window or join classes that
+are unsettled, or of different classes, meet in full, in blocks of BLOCK windows: first by their
+sketches, then those with a partner by their tokens, which are counted by a matrix product over the
+tokens that repeat in the block; where `least` consecutive ones about a node are shared, the
+similarity is computed on the spot. Only pairs that hold, and settle a window or join classes that
 the block has not joined yet, leave the block: none is lost, and no group of pairs is written out.
 """
 from collections.abc import Iterator
@@ -29,6 +35,8 @@ GAP = 12  # tokens without a partner that end a passage
 ROUNDS = 1
 BLOCK = 1000
 GROUP = 400_000  # tokens that meet one text in a task, about
+BITS = 512
+MISS = 1e-5  # share of pairs at the bound that collisions of bits may hide
 SEEDS = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -49,12 +57,11 @@ def windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     none = np.empty(0, np.int64)
     if len(v) < least:
         return none, none, none
-    m = sliding(v, least)
     # the first place of each minimum: sorted by value, then place
     order = np.argsort(v, kind="stable")
     ranks = np.empty(len(v), np.int64)
     ranks[order] = np.arange(len(v))
-    c = np.unique(order[sliding(ranks, least)]) if len(m) else none
+    c = np.unique(order[sliding(ranks, least)])
     vals, at = v[c].tolist(), c.tolist()
     lo, hi, stack = [0] * len(at), [len(v) - 1] * len(at), []
     for i, x in enumerate(vals):
@@ -79,8 +86,10 @@ def keyed(s: np.ndarray, least: int) -> np.ndarray:
             lo, c, hi = windows(mix(s * SEEDS[i]), least)
             key = mix(s[c] ^ (SEEDS[i] >> np.uint64(1)))
             order = np.lexsort((lo, -(hi - lo), key))
-            keep, last = [], []
-            for k in order.tolist():
+            near = key[order]
+            alone = np.r_[True, near[1:] != near[:-1]] & np.r_[near[1:] != near[:-1], True] if len(near) else np.empty(0, bool)
+            keep, last = order[alone].tolist(), []
+            for k in order[~alone].tolist():
                 if not last or key[last[-1]] != key[k]:
                     last = [k]
                 elif all(hi[j] < lo[k] or lo[j] > hi[k] for j in last):
@@ -94,6 +103,34 @@ def keyed(s: np.ndarray, least: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slack(n: int) -> int:
+    """Bits that collisions among n tokens take away, but with a probability of at most MISS (Poisson)."""
+    mean = n * (n - 1) / (2 * BITS)
+    k, term, rest = 0, np.exp(-mean), 1.0
+    while rest - term > MISS:
+        rest, k = rest - term, k + 1
+        term *= mean / k
+    return k
+
+
+def sketches(s: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(need, bits) of windows of tokens s: the distinct tokens that a passage about the node shares, at least, and the sketch."""
+    need, bits = np.empty(len(c), np.int32), np.empty((len(c), BITS // 64), np.int64)
+    for z in range(0, len(c), 20_000):
+        k = slice(z, z + 20_000)
+        left, right = np.maximum(lo[k], c[k] - least + 1), np.minimum(hi[k], c[k] + least - 1)
+        at = left[:, None] + np.arange(2 * least - 1)
+        pad = (at > right[:, None]).sum(1)
+        tok = s[np.minimum(at, right[:, None])]
+        on = np.zeros((len(tok), BITS), np.uint8)
+        on[np.arange(len(tok))[:, None], (tok % np.uint64(BITS)).astype(np.int64)] = 1
+        bits[k] = np.packbits(on, axis=1).view(np.int64)
+        tok.sort(axis=1)
+        again = (tok[:, 1:] == tok[:, :-1]).sum(1) - pad
+        need[k] = np.ceil(np.maximum(least - again, 1) * 2 * percent / (100 + percent) - 1e-9)
+    return need, bits
+
+
 def own_repeats(s: np.ndarray, least: int) -> list[tuple[int, int]]:
     """(from, to) of the runs of at least `least` tokens that occur again, word for word, further on, and of those occurrences."""
     order = np.argsort(s, kind="stable")
@@ -166,8 +203,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def confirmed(pairs: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
     """(node, other, start, end): passages, as words, that pairs (a, b, la, ca, ha, lb, cb, hb) of windows share.
 
-    The windows are cut to what lies about their nodes in both, with a quarter and 16 tokens more.
+    The windows are cut to what lies about their nodes in both, with a quarter and 16 tokens more. A
+    pair of windows without `least` consecutive tokens of which the other text has enough is not
+    compared, unless tokens repeat there.
     The partners of one text are dealt to groups of about GROUP tokens; its tokens go to each."""
+    enough = int(np.ceil(least * 2 * percent / (100 + percent) - 1e-9))
     more = lambda x: (x * 1.25 + 16).cast("int")
     near, far = F.least(F.col("ca") - F.col("la"), F.col("cb") - F.col("lb")), F.least(F.col("ha") - F.col("ca"), F.col("hb") - F.col("cb"))
     p = pairs.withColumn("near", more(near)).withColumn("far", more(far))
@@ -207,15 +247,39 @@ def confirmed(pairs: DataFrame, body: DataFrame, least: int, run: int, percent:
                     return tok[k][start + lo - x : start + hi - x + 1]
                 start += n
 
+        def index(k, place):
+            start = 0
+            for x, n in zip(at[k], size[k]):
+                if x <= place < x + n:
+                    return start + place - x
+                start += n
+
+        def held_by(x, y):
+            """Of each place of x how many before it start `least` consecutive ones of which y has enough; None if tokens of x repeat."""
+            if len(np.unique(x)) < len(x) or len(x) < least:
+                return None
+            on = np.cumsum(np.r_[0, np.isin(x, y)])
+            return np.cumsum(np.r_[0, on[least:] - on[:-least] >= enough])
+
+        def dense(held, lo, hi):
+            return hi - lo + 1 >= least and held[hi - least + 2] > held[lo]
+
         first = node.index(a)
         rows = []
         for k, b in enumerate(node):
             if k == first:
                 continue
             found: list[tuple[int, int, int, int]] = []
+            ours, theirs = held_by(tok[first], tok[k]), held_by(tok[k], tok[first])
+            if ours is None or theirs is None:
+                ours = theirs = None
             for q in sorted(w[k], key=lambda q: (q["la"] - q["ha"], q["ca"], q["cb"])):
                 if any(f <= q["ca"] <= e and g <= q["cb"] <= u for f, e, g, u in found):
                     continue
+                if ours is not None:
+                    f, g = index(first, q["la"]), index(k, q["lb"])
+                    if not (dense(ours, f, f + q["ha"] - q["la"]) and dense(theirs, g, g + q["hb"] - q["lb"])):
+                        continue
                 for f, e, g, u in common(piece(first, q["la"], q["ha"]), piece(k, q["lb"], q["hb"]), least, percent):
                     found.append((f + q["la"], e + q["la"], g + q["lb"], u + q["lb"]))
             for f, e, g, u in found:
@@ -240,6 +304,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     """
     spark = docs.sparkSession
     held: list[str] = []
+    early: list[str] = []
     least = words - run + 1
     kind = "array<struct<start:bigint,end:bigint>>"
 
@@ -266,34 +331,44 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     one = d.join(reps.select("digest", F.col("id").alias("rep"), "node", "rows"), "digest").where("id <=> rep")
     # of rows equal in id and text one is read; only those can repeat
     text = one.where("rows = 1").select("node", "text").unionByName(one.where("rows > 1").select("node", "text").dropDuplicates(["node"]))
-    every = cut(text.mapInArrow(marked, f"node long, n long, own {kind}, wins array<struct<key:bigint,lo:int,c:int,hi:int>>"), held)
+    every = cut(text.mapInArrow(marked, f"node long, n long, own {kind}, wins array<struct<key:bigint,lo:int,c:int,hi:int>>"), early)
     wins = every.select("node", F.inline("wins"))
-    many = cut(wins.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), held)
-    live = cut(wins.join(many, "key", "left_semi"), held)
+    many = cut(wins.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), early)
+    live = cut(wins.join(many, "key", "left_semi"), early)
     body = cut(text.join(live.select("node").distinct(), "node", "left_semi"), held)
     whole = every.where(F.col("n") >= words).join(reps.where("ids > 1").select("node"), "node", "left_semi").select("node", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     spans = cut(whole.union(every.select("node", F.inline("own"))), held)
+    size = cut(every.select("node", "n"), held)
+    live = cut(_sketched(live, body, least, run, percent), held)
+    clear(spark, early)
     facts, label = [spans], None
     links = None
+    led = []  # windows that have met all others of their key
     for r in range(ROUNDS + 1):
         k = live
         if r:
+            for x in led:
+                k = k.join(x, ["key", "node", "c"], "left_anti")
             k = k.join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
             seen = links.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("p"))
             # a token lies in a passage if its words do
             k = k.join(seen, "node", "left").withColumn("open", ~F.coalesce(F.exists("p", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"])), F.lit(False))).drop("p")
-            active = k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("z")).where("x <> y or z").select("key")
+            active = k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("z"), (F.min("node") != F.max("node")).alias("two")).where("two and (x <> y or z)").select("key")
             k = cut(k.join(active, "key", "left_semi"), held)
             if k.isEmpty():
                 break
         else:
             k = k.withColumn("label", F.col("node")).withColumn("open", F.lit(True))
         if r < ROUNDS:
-            lead = k.groupBy("key").agg(F.max_by(F.struct("node", "label", "open", "lo", "c", "hi"), F.struct("open", F.xxhash64(F.lit(r), "node"))).alias("l"))
+            lead = k.groupBy("key").agg(F.max_by(F.struct("node", "label", "open", "lo", "c", "hi", "need", "bits"), F.struct("open", F.xxhash64(F.lit(r), "node"), "c")).alias("l"))
+            lead = cut(lead, held)
+            led.append(lead.select("key", "l.node", "l.c"))
             p = k.join(lead, "key").where((F.col("node") != F.col("l.node")) & (F.col("open") | F.col("l.open") | (F.col("label") != F.col("l.label"))))
+            both = sum(F.bit_count(F.col("bits")[i].bitwiseAND(F.col("l.bits")[i])) for i in range(BITS // 64))
+            p = p.where(both >= F.least("need", "l.need") - slack(least))
             p = p.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.lo").alias("la"), F.col("l.c").alias("ca"), F.col("l.hi").alias("ha"), F.col("lo").alias("lb"), F.col("c").alias("cb"), F.col("hi").alias("hb"))
         else:
-            p = _full(k, body, least, run, percent)
+            p = _full(cut(_paired(k, least), held), body, least, run, percent)
         p = cut(p, held)
         found = cut(confirmed(p, body, least, run, percent).distinct(), held)
         facts.append(found.select("node", "start", "end"))
@@ -308,7 +383,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     join = lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["end"] >= x["start"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x)))
     p = p.withColumn("p", F.aggregate("p", F.array().cast(kind), join))
     said = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    group = reps.select("digest", "id", "node", "ids").join(every.select("node", "n"), "node").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    group = reps.select("digest", "id", "node", "ids").join(size, "node").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = group.join(group.groupBy("label").agg(F.min("id").alias("least")), "label").join(p, "node", "left")
     # shorter texts have no passages, so equal ones stay apart
     linked = (F.col("n") >= words) & F.col("p").isNotNull()
@@ -318,6 +393,68 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     return out.select(F.col("id").alias(id_col), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _sketched(live: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
+    """live with the columns need and bits of `sketches`."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Words()
+        for b in batches:
+            for part, texts in slices(b, 2):
+                w = part.column(1)
+                flat, size = w.flatten(), np.diff(w.offsets.to_numpy())
+                lo, c, hi = (flat.field(x).to_numpy() for x in ("lo", "c", "hi"))
+                start, out = 0, []
+                for n, t in zip(size, texts):
+                    k = slice(start, start + n)
+                    out.append(sketches(shingles(hashes(words_of(t)), run), lo[k], c[k], hi[k], least, percent))
+                    start += n
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x for _, x in out]).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+                node = pa.array(np.repeat(part.column(0).to_numpy(), size))
+                yield pa.RecordBatch.from_arrays([flat.field("key"), node, *(flat.field(x) for x in ("lo", "c", "hi")), pa.array(np.concatenate([x for x, _ in out])), bits], ["key", "node", "lo", "c", "hi", "need", "bits"])
+
+    w = live.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "c", "hi")).alias("w"))
+    return w.join(body, "node").select("node", "w", "text").mapInArrow(draw, "key long, node long, lo int, c int, hi int, need int, bits array<long>")
+
+
+def _blocks(k: DataFrame) -> DataFrame:
+    """k with p, q, side: each two of a key's blocks of BLOCK windows, and which of them the window is of (2: p = q)."""
+    many = k.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    k = k.join(many, "key").withColumn("own", F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    return k.withColumn("side", side).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+
+
+def _paired(k: DataFrame, least: int) -> DataFrame:
+    """The windows of k whose sketch fits that of another one of their key, of which one is open or the labels differ.
+
+    Keys of one block are met many at a time, about BLOCK windows in a group."""
+    lost = slack(least)
+
+    def fit(t: pa.Table) -> pa.Table:
+        key, node, label, side, need = (t[x].to_numpy() for x in ("key", "node", "label", "side", "need"))
+        free = t["open"].to_numpy(zero_copy_only=False)
+        bits = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
+        hit = np.zeros(len(t), bool)
+        order = np.argsort(key, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            x, y = (run, run) if side[run[0]] == 2 else (run[side[run] == 0], run[side[run] == 1])
+            for z in range(0, len(x), 100):
+                i = x[z : z + 100]
+                both = np.bitwise_count(bits[i, None] & bits[None, y]).sum(2, dtype=np.int32)
+                fits = (both >= np.minimum(need[i, None], need[None, y]) - lost) & (node[i, None] != node[None, y])
+                fits &= free[i, None] | free[None, y] | (label[i, None] != label[None, y])
+                hit[i] |= fits.any(1)
+                hit[y] |= fits.any(0)
+        return t.select(["key", "node", "c"]).filter(pa.array(hit))
+
+    groups = max(1, k.count() // BLOCK)
+    b = _blocks(k.select("key", "node", "label", "open", "c", "need", "bits"))
+    b = b.withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
+    b = b.select("group", "p", "q", "side", "key", "node", "label", "open", "c", "need", "bits")
+    hit = b.groupBy("group", "p", "q").applyInArrow(fit, "key long, node long, c int").distinct()
+    return k.drop("bits").join(hit, ["key", "node", "c"], "left_semi")
+
+
 def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
     """Pairs of windows of a key that share a passage about their nodes and join their classes, or settle one that is open."""
     enough = int(np.ceil(least * 2 * percent / (100 + percent) - 1e-9))
@@ -333,11 +470,11 @@ def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) ->
                         near.append((s[max(x["lo"], x["c"] - least + 1) : min(x["hi"], x["c"] + least - 1) + 1]))
                         rows.append(x)
                 node = np.repeat(part.column(0).to_numpy(), [len(w) for w in part.column(1)])
-                cols = [pa.array([x[c] for x in rows], kind) for c, kind in (("key", pa.int64()), ("label", pa.int64()), ("open", pa.bool_()), ("lo", pa.int32()), ("c", pa.int32()), ("hi", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *cols, pa.array(near, pa.list_(pa.int64()))], ["node", "key", "label", "open", "lo", "c", "hi", "near"])
+                cols = [pa.array([x[c] for x in rows], kind) for c, kind in (("key", pa.int64()), ("label", pa.int64()), ("open", pa.bool_()), ("lo", pa.int32()), ("c", pa.int32()), ("hi", pa.int32()), ("need", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *cols, pa.array(near, pa.list_(pa.int64()))], ["node", "key", "label", "open", "lo", "c", "hi", "need", "near"])
 
     def tile(t: pa.Table) -> pa.Table:
-        node, label, side = (t[c].to_numpy() for c in ("node", "label", "side"))
+        node, label, side, need = (t[c].to_numpy() for c in ("node", "label", "side", "need"))
         free = t["open"].to_numpy(zero_copy_only=False)
         same = side[0] == 2
         x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -359,7 +496,7 @@ def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) ->
             shared += m[x] @ m[y].T
         first = np.cumsum(size) - size
         tokens = near.flatten().to_numpy()
-        fits = shared >= enough
+        fits = shared >= np.minimum(need[x, None], need[None, y])
         fits &= node[x, None] != node[None, y]
         label, free = label.copy(), free.copy()
         out = []
@@ -379,10 +516,7 @@ def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) ->
         cols = [t[c].to_numpy()[p] for p in pairs for c in ("node", "lo", "c", "hi")]
         return pa.table([cols[0], cols[4], *cols[1:4], *cols[5:]], ["a", "b", "la", "ca", "ha", "lb", "cb", "hb"])
 
-    w = k.groupBy("node").agg(F.collect_list(F.struct("key", "label", "open", "lo", "c", "hi")).alias("w"))
-    k = w.join(body, "node").select("node", "w", "text").mapInArrow(around, "node long, key long, label long, open boolean, lo int, c int, hi int, near array<long>")
-    many = w.select(F.explode("w.key").alias("key")).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    k = k.join(many, "key").withColumn("own", F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    k = k.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "node", "label", "open", "lo", "c", "hi", "near")
+    w = k.groupBy("node").agg(F.collect_list(F.struct("key", "label", "open", "lo", "c", "hi", "need")).alias("w"))
+    k = w.join(body, "node").select("node", "w", "text").mapInArrow(around, "node long, key long, label long, open boolean, lo int, c int, hi int, need int, near array<long>")
+    k = _blocks(k).select("key", "p", "q", "side", "node", "label", "open", "lo", "c", "hi", "need", "near")
     return k.groupBy("key", "p", "q").applyInArrow(tile, "a long, b long, la int, ca int, ha int, lb int, cb int, hb int")
