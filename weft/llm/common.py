@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 M64 = (1 << 64) - 1
 MIX1, MIX2, MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_CHARS = 2_000_000  # characters of text in a slice; a longer text is a slice of its own
 
 
@@ -40,7 +41,12 @@ def cut(df: DataFrame, held: list[str] | None = None) -> DataFrame:
     """The same rows, written to the shared folder and read again; held gets the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleans = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # no later job reads the shuffle files of this one
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, cleans)
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)
