@@ -47,13 +47,18 @@ def features(text: str | None) -> np.ndarray:
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the smallest non-negative risk under logistic loss, by Adam."""
-    x = np.concatenate([pos, unl])
-    mean, dev = x.mean(0), x.std(0) + 0.01
-    p, u = (pos - mean) / dev, (unl - mean) / dev
+    # the driver holds the samples in single precision, once more as x
+    x = np.concatenate([pos, unl]).astype(np.float32, copy=False)
+    mean = x.mean(0, dtype=np.float64)
+    x -= mean.astype(np.float32)
+    dev = np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)) + 0.01
+    x /= dev.astype(np.float32)
+    p, u = x[: len(pos)], x[len(pos) :]
     w = np.zeros(x.shape[1] + 1)
     m, v = w.copy(), w.copy()
     for t in range(1, steps + 1):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        z = (x @ w[:-1].astype(np.float32)).astype(np.float64) + w[-1]
+        zp, zu = z[: len(pos)], z[len(pos) :]
         # losses of calling z negative: log(1 + e^z); its slope is the sigmoid
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         neg = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -62,7 +67,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate:
             gp, gu = gp - prior * sp / len(p), su / len(u)
         else:  # step away from a negative risk
             gp, gu = prior * sp / len(p), -su / len(u)
-        g = np.r_[gp @ p + gu @ u, gp.sum() + gu.sum()]
+        g = np.r_[gp.astype(np.float32) @ p + gu.astype(np.float32) @ u, gp.sum() + gu.sum()]
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate / (1 + t / 100) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -74,8 +79,10 @@ def _matrix(docs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["x"])
 
-    rows = docs.select("text").mapInArrow(run, "x binary").toArrow().column(0).to_pylist()
-    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, SIZE).astype(np.float64)
+    chunks = docs.select("text").mapInArrow(run, "x binary").toArrow().column(0).chunks
+    # every value has the same length, so a chunk's bytes are its rows
+    parts = [np.frombuffer(c.buffers()[2], np.float32, (c.offset + len(c)) * SIZE).reshape(-1, SIZE)[c.offset : c.offset + len(c)] for c in chunks if len(c)]
+    return np.concatenate(parts) if parts else np.empty((0, SIZE), np.float32)
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
