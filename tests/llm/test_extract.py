@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 
@@ -40,6 +41,36 @@ def test_differencing(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_differencing_finds_the_article():
+    story, teasers = "<article><h1>T</h1><p>a long story of its own<p>Shared passage</article>", "<article><p>More</article><article><p>News</article>"
+    other = "<article><p>another one<p>Shared passage</article>" + teasers
+    assert main_text(blocks(story + teasers), blocks(other)) == "T\n\na long story of its own\n\nShared passage"
+    # a copy keeps its text, with teasers of its own too, and so does a page without neighbours
+    assert main_text(blocks(story), blocks(story)) == main_text(blocks(story)) == "T\n\na long story of its own\n\nShared passage"
+    assert main_text(blocks(story + "<article><p>x</article>"), blocks(story + "<article><p>y</article>")).startswith("T\n\na long story")
+
+
+def test_neighbours_do_not_depend_on_partitions(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}/x/{i:03}", f"<p>Menu<p>own {i}<p>End") for i in range(60)] + [(99, None, "<p>alone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"own {i}" for i in range(60)} | {99: "alone"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 8, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = [(r.page_id, r.text) for r in extract(df.repartition(5)).collect()]
+            assert len(got) == 61 and dict(got) == want, n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_many_equal_lines():
+    a, b = ["x", "y"] * 10_000, ["y", "x", "x"] * 6_000
+    t = time.time()
+    assert len(shared(a, b)) >= 12_000 and time.time() - t < 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abc"), max_size=8))
 def test_longest(a, b):
