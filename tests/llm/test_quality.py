@@ -1,6 +1,7 @@
+import tracemalloc
 from zlib import crc32
 
-from weft.llm.quality import quality
+from weft.llm.quality import learn, quality
 
 D = "/root/testdata/sf0.1"
 
@@ -25,3 +26,14 @@ def test_edges(spark):
     assert [r.score for r in quality(docs, none).collect()] == [1.0] * 3
     one = spark.createDataFrame([(1, 1), (None, 1), (1, None)], "doc_id long, quality int")
     assert quality(docs, one).count() == 3 and quality(docs.limit(0), one).count() == 0
+
+
+def test_driver_holds_no_sample(spark):
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    tracemalloc.start()
+    w, bias = learn(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6, peak
+    again, other = learn(docs.repartition(7), labels)
+    assert (w == again).all() and bias == other

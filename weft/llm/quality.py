@@ -47,7 +47,7 @@ def features(text: str | None) -> np.ndarray:
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the smallest non-negative risk under logistic loss, by Adam."""
-    # the driver holds the samples in single precision, once more as x
+    # the samples are held in single precision, once more as x
     x = np.concatenate([pos, unl]).astype(np.float32, copy=False)
     mean = x.mean(0, dtype=np.float64)
     x -= mean.astype(np.float32)
@@ -74,15 +74,34 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate:
     return w[:-1] / dev, float(w[-1] - (w[:-1] * mean / dev).sum())
 
 
-def _matrix(docs: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fitted(sample: DataFrame, prior: float) -> tuple[np.ndarray, float]:
+    """The model of sample (doc_id, positive, text), fitted in one task, so that the driver holds no sample."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["x"])
+            x = pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "positive", "x"])
 
-    chunks = docs.select("text").mapInArrow(run, "x binary").toArrow().column(0).chunks
-    # every value has the same length, so a chunk's bytes are its rows
-    parts = [np.frombuffer(c.buffers()[2], np.float32, (c.offset + len(c)) * SIZE).reshape(-1, SIZE)[c.offset : c.offset + len(c)] for c in chunks if len(c)]
-    return np.concatenate(parts) if parts else np.empty((0, SIZE), np.float32)
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {True: [], False: []}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # every value has the same length, so a batch's bytes are its rows
+            c, p = b.column(2), b.column(1).to_numpy(zero_copy_only=False)
+            x = np.frombuffer(c.buffers()[2], np.float32, (c.offset + len(c)) * SIZE).reshape(-1, SIZE)[c.offset :]
+            for k, rows in parts.items():
+                rows.append(x[p == k])
+        pos, unl = (np.concatenate(rows) if rows else np.empty((0, SIZE), np.float32) for rows in (parts[True], parts[False]))
+        if len(pos) and len(unl):
+            w, bias = fit(pos, unl, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["w", "bias"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    x = sample.select("doc_id", "positive", "text").mapInArrow(vectors, f"doc_id {kind}, positive boolean, x binary")
+    # the order of the rows fixes the last digits
+    got = x.repartition(1).sortWithinPartitions("positive", "doc_id").mapInArrow(model, "w binary, bias double").collect()
+    return (np.frombuffer(got[0].w), got[0].bias) if got else (np.zeros(SIZE), np.inf)
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
@@ -98,13 +117,11 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     ids = lab.where("quality = 1").select("doc_id").join(there, "doc_id", "left_semi").orderBy(order, "doc_id").limit(positives)
     # a repeated id gives one row, so both samples are bounded by their limits
     sample = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pos = _matrix(sample(ids))
-    if not len(pos):
-        return np.zeros(SIZE), np.inf
-    unl = _matrix(sample(there.where("doc_id is not null").orderBy(order, "doc_id").limit(unlabelled)))
-    if not len(unl):
+    rows = lambda ids, positive: sample(ids).select("doc_id", F.lit(positive).alias("positive"), "text")
+    if prior is None:
         return np.zeros(SIZE), np.inf
-    return fit(pos, unl, min(prior, 0.99))
+    every = there.where("doc_id is not null").orderBy(order, "doc_id").limit(unlabelled)
+    return _fitted(rows(ids, True).unionByName(rows(every, False)), min(prior, 0.99))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
