@@ -61,7 +61,9 @@ def windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     order = np.argsort(v, kind="stable")
     ranks = np.empty(len(v), np.int64)
     ranks[order] = np.arange(len(v))
-    c = np.unique(order[sliding(ranks, least)])
+    least_of = np.zeros(len(v), bool)
+    least_of[order[sliding(ranks, least)]] = True
+    c = np.flatnonzero(least_of)
     vals, at = v[c].tolist(), c.tolist()
     lo, hi, stack = [0] * len(at), [len(v) - 1] * len(at), []
     for i, x in enumerate(vals):
@@ -85,11 +87,12 @@ def keyed(s: np.ndarray, least: int) -> np.ndarray:
         for i in range(HASHES):
             lo, c, hi = windows(mix(s * SEEDS[i]), least)
             key = mix(s[c] ^ (SEEDS[i] >> np.uint64(1)))
-            order = np.lexsort((lo, -(hi - lo), key))
-            near = key[order]
-            alone = np.r_[True, near[1:] != near[:-1]] & np.r_[near[1:] != near[:-1], True] if len(near) else np.empty(0, bool)
-            keep, last = order[alone].tolist(), []
-            for k in order[~alone].tolist():
+            near = np.sort(key)
+            again = near[1:][near[1:] == near[:-1]]
+            alone = ~np.isin(key, again) if len(again) else np.ones(len(key), bool)
+            keep, last = np.flatnonzero(alone).tolist(), []
+            rest = np.flatnonzero(~alone)
+            for k in rest[np.lexsort((lo[rest], (lo - hi)[rest], key[rest]))].tolist():
                 if not last or key[last[-1]] != key[k]:
                     last = [k]
                 elif all(hi[j] < lo[k] or lo[j] > hi[k] for j in last):
