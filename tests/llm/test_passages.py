@@ -2,9 +2,10 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 
-from weft.llm.common import Words, shingles
-from weft.llm.passages import keyed, repeated_passages, windows
+from weft.llm.common import Words, shingles, words_of
+from weft.llm.passages import PART, common, keyed, keyed_all, own_repeats, repeated_passages, tokens_of, windows
 
 
 def test_planted(spark):
@@ -91,3 +92,69 @@ def test_very_long_repeated_line():
     t = time.time()
     keyed(np.tile(np.arange(1, 11, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 2000), 46)
     assert time.time() - t < 5
+
+
+def _texts():
+    g = random.Random(3)
+    words = ["w%d" % g.randrange(3000) for _ in range(4000)]
+    line = " ".join(words[:60])
+    odd = ["", " ", "one", "\x0b A\x1fB \t\n é\u00a0x ", "x" * (PART + 5) + " y", "a" + " " * (PART + 9) + "b", line + " - " + line, line.upper()]
+    return odd + [" ".join(g.choice(words) for _ in range(g.randrange(400))) for _ in range(60)]
+
+
+def test_tokens_are_those_of_the_words():
+    texts, run = _texts(), 5
+    seen, back = {}, {}
+    column = pa.array(["cut off", *texts])[1:]
+    for x, y, s, starts in tokens_of(column, run):
+        for k in range(x, y):
+            w = words_of(texts[k])
+            assert starts[k - x + 1] - starts[k - x] == len(w)
+            for i in range(len(w) - run + 1):
+                token, words = int(s[starts[k - x] + i]), tuple(w[i : i + run])
+                assert seen.setdefault(words, token) == token and back.setdefault(token, words) == words
+    assert len(seen) > 5000
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    least, run = 46, 5
+    for x, y, s, starts in tokens_of(pa.array(_texts()), run):
+        rows, twice = keyed_all(s, starts, least, run)
+        for k in range(y - x):
+            own = s[starts[k] : max(starts[k], starts[k + 1] - run + 1)]
+            assert sorted(map(tuple, keyed(own, least).tolist())) == sorted(map(tuple, rows[rows[:, 0] == k][:, 1:].tolist()))
+            assert k in twice or not own_repeats(own, least)
+
+
+def test_common_of_numbered_tokens():
+    g, found = np.random.default_rng(4), 0
+    for top in (10**6, 150, 60):
+        for _ in range(100):
+            a, b = g.integers(0, top, 150), g.integers(0, top, 40)
+            near = a[20:120].copy()
+            near[g.random(100) < 0.05] = top
+            b = np.r_[b, near]
+            got = common(a, b, 46, 80)
+            _, code = np.unique(np.r_[a, b], return_inverse=True)
+            assert got == common(code[: len(a)], code[len(a) :], 46, 80, int(code.max()) + 1)
+            for f, t, h, u in got:
+                x, y = set(a[f : t + 1].tolist()), set(b[h : u + 1].tolist())
+                assert t - f >= 45 and u - h >= 45 and 100 * len(x & y) >= 80 * len(x | y)
+            found += bool(got)
+    assert found > 200
+
+
+def test_windows_take_less_time_than_sorting_the_tokens():
+    """Hashing the words and making all windows, against sorting as many tokens once a hash."""
+    g = random.Random(6)
+    texts = pa.array([" ".join("w%d" % g.randrange(20000) for _ in range(300)) for _ in range(1500)])
+    v = np.random.default_rng(7).integers(0, 1 << 62, 450_000)
+    took = []
+    for _ in range(3):
+        t = time.process_time()
+        for _ in range(4):
+            np.argsort(v, kind="stable")
+        u = time.process_time()
+        n = sum(len(keyed_all(s, starts, 46, 5)[0]) for _, _, s, starts in tokens_of(texts, 5))
+        took.append((time.process_time() - u) / (u - t))
+    assert n > 40_000 and min(took) < 1.5, took

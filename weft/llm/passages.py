@@ -15,12 +15,12 @@ windows are compared only if their sketches have as many bits in common as a pas
 tokens about the node leaves but for collisions (MISS).
 
 Under a key every window first meets only the key's leader. Confirmed texts form classes, and
-windows whose node lies in a confirmed passage are settled. After ROUNDS, windows under a key that
-are unsettled, or of different classes, meet in full, in blocks of BLOCK windows: first by their
-sketches, then those with a partner by their tokens, which are counted by a matrix product over the
-tokens that repeat in the block; where `least` consecutive ones about a node are shared, the
-similarity is computed on the spot. Only pairs that hold, and settle a window or join classes that
-the block has not joined yet, leave the block: none is lost, and no group of pairs is written out.
+windows whose node lies in a confirmed passage are settled. Then windows under a key that are
+unsettled, or of different classes, meet in full, in blocks of BLOCK windows: those of which others
+have enough tokens are compared by a matrix product over the tokens that repeat in the block; where
+`least` consecutive ones about a node are shared, the similarity is computed on the spot, once for
+windows of the same tokens. Only pairs that hold, and settle a window or join classes that the block
+has not joined yet, leave the block: none is lost, and no group of pairs is written out.
 """
 from collections.abc import Iterator
 
@@ -28,42 +28,99 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import Words, clear, components, cut, mix, shingles, slices, words_of
+from weft.llm.common import clear, components, cut, mix
 
 HASHES = 4
 GAP = 12  # tokens without a partner that end a passage
-ROUNDS = 1
 BLOCK = 1000
 GROUP = 400_000  # tokens that meet one text in a task, about
 BITS = 512
 MISS = 1e-5  # share of pairs at the bound that collisions of bits may hide
 SEEDS = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SLICE = 1_000_000  # bytes of the texts that are hashed at once; a longer text is alone
+SMALL = "zstd"  # codec of the large tables
+PART = 1 << 18  # longest word, in bytes, that is hashed by its letters
+BASE, AFTER = 0x5851F42D4C957F2D, np.uint64(0xD1342543DE82EF95)
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTERS = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
+LETTERS[65:91] = LETTERS[97:123]
+LETTERS[WHITE] = 0
+POWERS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(PART - 1, BASE, np.uint64)])
+INVERSES = np.multiply.accumulate(np.r_[np.uint64(1), np.full(PART - 1, pow(BASE, -1, 1 << 64), np.uint64)])
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each word of raw, A-Z lowered; the words begin at starts.
+
+    The sum of each letter's number times a power of BASE by its place in the word."""
+    out = np.empty(len(starts), np.uint64)
+    ends = np.r_[starts[1:], len(raw)]
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + PART, "right"))
+        if j > i:
+            part, at = raw[starts[i] : ends[j - 1]], starts[i:j] - starts[i]
+            out[i:j] = np.add.reduceat(LETTERS.take(part) * POWERS[: len(part)], at) * INVERSES.take(at)
+        else:  # a very long word, or white space
+            j, word = i + 1, raw[starts[i] : ends[i]].tobytes().split()[0].lower()
+            if len(word) <= PART:
+                out[i] = (LETTERS.take(np.frombuffer(word, np.uint8)) * POWERS[: len(word)]).sum(dtype=np.uint64)
+            else:
+                import xxhash
+
+                out[i] = xxhash.xxh3_64_intdigest(word)
+        i = j
+    return out
 
 
-def sliding(v: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each `width` consecutive places."""
+def tokens_of(texts: pa.Array, run: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, tokens, starts) of slices of texts: the tokens of texts from to to (exclusive), end to end.
+
+    A text's tokens begin at its place in starts (one more for the end), one a word; the last
+    run - 1 of them reach into the next text and are none of it."""
+    texts = texts.cast(pa.large_string())
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE, "right")) - 1) if run > 1 else a + 1
+        raw, edge = data[off[a] : off[b]], off[a : b + 1] - off[a]
+        inside = ~WHITE.take(raw)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        head = edge[:-1][edge[:-1] < len(raw)]
+        first[head] = inside[head]
+        at = np.flatnonzero(first)
+        starts = np.searchsorted(at, edge)
+        h = word_hashes(raw, at)
+        s = np.r_[h, np.zeros(run - 1, np.uint64)] if run > 1 else h
+        out = s[: len(h)]
+        for i in range(1, run):
+            out = out * AFTER + s[i : len(h) + i]
+        yield a, b, mix(out), starts
+        a = b
+
+
+def sliding(v: np.ndarray, width: int, best: np.ufunc = np.minimum) -> np.ndarray:
+    """The minimum (or maximum) of each `width` consecutive places."""
     m, w = v, 1
     while 2 * w <= width:
-        m, w = np.minimum(m[:-w], m[w:]), 2 * w
-    return np.minimum(m[: len(v) - width + 1], m[width - w : width - w + len(v) - width + 1])
+        m, w = best(m[:-w], m[w:]), 2 * w
+    return best(m[: len(v) - width + 1], m[width - w : width - w + len(v) - width + 1])
 
 
 def windows(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, node, right) of the Cartesian tree's nodes whose windows have at least `least` places.
 
-    Of equal tokens the first is the minimum. Such a node is the first minimum of some `least`
-    consecutive places, and so is the node that ends its window on either side.
+    Of equal tokens the first is the minimum. Such a node is a minimum of some `least` consecutive
+    places, and so is the node that ends its window on either side.
     """
     none = np.empty(0, np.int64)
     if len(v) < least:
         return none, none, none
-    # the first place of each minimum: sorted by value, then place
-    order = np.argsort(v, kind="stable")
-    ranks = np.empty(len(v), np.int64)
-    ranks[order] = np.arange(len(v))
-    least_of = np.zeros(len(v), bool)
-    least_of[order[sliding(ranks, least)]] = True
-    c = np.flatnonzero(least_of)
+    # a place is a minimum of some places about it if the largest of their minima is its own
+    edge = np.zeros(least - 1, v.dtype)
+    c = np.flatnonzero(sliding(np.concatenate([edge, sliding(v, least), edge]), least, np.maximum) == v)
     vals, at = v[c].tolist(), c.tolist()
     lo, hi, stack = [0] * len(at), [len(v) - 1] * len(at), []
     for i, x in enumerate(vals):
@@ -80,30 +137,49 @@ def keyed(s: np.ndarray, least: int) -> np.ndarray:
     """Rows of key, left, node, right of a text's windows.
 
     Of windows of one key that overlap the widest stays."""
-    if len(s) < least:
-        return np.empty((0, 4), np.int64)
-    out = []
+    return keyed_all(s, np.array([0, len(s)]), least, 1)[0][:, 1:]
+
+
+def keyed_all(s: np.ndarray, starts: np.ndarray, least: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of text, key, left, node, right of the windows of the texts of `tokens_of`, by text; which texts have two of a key under the first hash.
+
+    Places are the text's own. Between texts stand places smaller than any token."""
+    gap = np.zeros(len(s), bool)
+    for i in range(1, run):
+        gap[np.maximum(starts[1:] - i, starts[:-1])[starts[1:] > starts[:-1]]] = True
+    out, twice = [], np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         for i in range(HASHES):
-            lo, c, hi = windows(mix(s * SEEDS[i]), least)
+            v = (s * SEEDS[i]) | np.uint64(1)
+            v[gap] = 0
+            lo, c, hi = windows(v, least)
+            real = ~gap[c]
+            lo, c, hi = lo[real], c[real], hi[real]
+            text = np.searchsorted(starts, c, "right") - 1
             key = mix(s[c] ^ (SEEDS[i] >> np.uint64(1)))
-            near = np.sort(key)
+            own = mix(key ^ (text.astype(np.uint64) * SEEDS[i]))  # the key within its text
+            near = np.sort(own)
             again = near[1:][near[1:] == near[:-1]]
-            alone = ~np.isin(key, again) if len(again) else np.ones(len(key), bool)
-            keep, last = np.flatnonzero(alone).tolist(), []
-            rest = np.flatnonzero(~alone)
-            for k in rest[np.lexsort((lo[rest], (lo - hi)[rest], key[rest]))].tolist():
-                if not last or key[last[-1]] != key[k]:
-                    last = [k]
-                elif all(hi[j] < lo[k] or lo[j] > hi[k] for j in last):
-                    last.append(k)
-                else:
-                    continue
-                keep.append(k)
-            keep = np.array(keep, np.int64)
-            lo, c, hi, key = lo[keep], c[keep], hi[keep], key[keep]
-            out.append(np.stack([key.view(np.int64), lo, c, hi], 1))
-    return np.concatenate(out)
+            if len(again):
+                alone = ~np.isin(own, again)
+                keep, last = np.flatnonzero(alone).tolist(), []
+                rest = np.flatnonzero(~alone)
+                if i == 0:
+                    twice = np.unique(text[rest])
+                for k in rest[np.lexsort((lo[rest], (lo - hi)[rest], own[rest]))].tolist():
+                    if not last or own[last[-1]] != own[k]:
+                        last = [k]
+                    elif all(hi[j] < lo[k] or lo[j] > hi[k] for j in last):
+                        last.append(k)
+                    else:
+                        continue
+                    keep.append(k)
+                keep = np.array(keep, np.int64)
+                text, lo, c, hi, key = text[keep], lo[keep], c[keep], hi[keep], key[keep]
+            at = starts[text]
+            out.append(np.stack([text, key.view(np.int64), lo - at, c - at, hi - at], 1))
+    out = np.concatenate(out)
+    return out[np.argsort(out[:, 0], kind="stable")], twice
 
 
 def slack(n: int) -> int:
@@ -119,8 +195,8 @@ def slack(n: int) -> int:
 def sketches(s: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(need, bits) of windows of tokens s: the distinct tokens that a passage about the node shares, at least, and the sketch."""
     need, bits = np.empty(len(c), np.int32), np.empty((len(c), BITS // 64), np.int64)
-    for z in range(0, len(c), 20_000):
-        k = slice(z, z + 20_000)
+    for z in range(0, len(c), 4000):
+        k = slice(z, z + 4000)
         left, right = np.maximum(lo[k], c[k] - least + 1), np.minimum(hi[k], c[k] + least - 1)
         at = left[:, None] + np.arange(2 * least - 1)
         pad = (at > right[:, None]).sum(1)
@@ -151,44 +227,97 @@ def own_repeats(s: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+def pieces(at: np.ndarray, least: int, few: int) -> list[np.ndarray]:
+    """The parts of at between gaps of more than GAP that span `least` places and hold at least few."""
+    cuts = ((at[1:] - at[:-1]) > GAP).nonzero()[0]
+    if not len(cuts):
+        return [at] if len(at) >= few and at[-1] - at[0] + 1 >= least else []
+    out, start = [], 0
+    for end in (cuts + 1).tolist() + [len(at)]:
+        if end - start >= few and at[end - 1] - at[start] + 1 >= least:
+            out.append(at[start:end])
+        start = end
+    return out
+
+
+def narrower(piece: np.ndarray, q: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """A piece and its partner, cut at the widest gap of the first that has one."""
+    f, t, g, u = int(piece[0]), int(piece[-1]), int(q[0]), int(q[-1])
+    gap = piece[1:] - piece[:-1]
+    if len(gap) and gap.max() > 1:
+        k = int(gap.argmax())
+        return [(lo, hi, g, u + 1) for lo, hi in ((f, int(piece[k]) + 1), (int(piece[k + 1]), t + 1)) if hi - lo >= least]
+    gap = q[1:] - q[:-1]
+    if len(gap) and gap.max() > 1:
+        k = int(gap.argmax())
+        return [(f, t + 1, lo, hi) for lo, hi in ((g, int(q[k]) + 1), (int(q[k + 1]), u + 1)) if hi - lo >= least]
+    return []
+
+
+def aligned(partner: np.ndarray, a0: int, a1: int, b0: int, b1: int, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """`common` of the places a0 to a1 and b0 to b1 (exclusive) of texts where no token repeats; partner is the place in b of each place of a, or -1."""
+    few = -(-least * percent // 100)  # tokens that a passage shares, at least
+    out, todo = [], [(a0, a1, b0, b1)]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        there = partner[a0:a1]
+        on = ((there >= b0) & (there < b1)).nonzero()[0] + a0
+        if len(on) < few:
+            continue
+        for piece in pieces(on, least, few):
+            for q in pieces(np.sort(partner[piece]), least, few):
+                f, t, g, u = int(piece[0]), int(piece[-1]), int(q[0]), int(q[-1])
+                if 100 * len(q) >= percent * (t - f + 1 + u - g + 1 - len(q)):
+                    out.append((f, t, g, u))
+                else:
+                    todo += narrower(piece, q, least)
+    return out
+
+
+def common(a: np.ndarray, b: np.ndarray, least: int, percent: int, codes: int = 0) -> list[tuple[int, int, int, int]]:
     """(from, to, from, to) of passages that a and b share, ends included.
 
     Places with a partner form pieces between gaps of more than GAP; a piece and its partner that
-    are not similar enough are tried again without what lies beyond their widest gaps."""
-    out = []
-    todo = [(0, len(a), 0, len(b))]
+    are not similar enough are tried again without what lies beyond their widest gaps. Tokens may be
+    given as numbers below codes."""
+    if not codes:
+        known, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, codes = number[: len(a)], number[len(a) :], len(known)
+    place = np.empty(codes, np.int64)  # read only where it was written just before
+    has = np.zeros(codes, bool)
+
+    def lasts(x):
+        """The places of x whose token does not occur further on."""
+        r = np.arange(len(x))
+        place[x] = r
+        return place[x] == r
+
+    def within(x, y):
+        """The places of x whose token y has."""
+        has[y] = True
+        on = has[x].nonzero()[0]
+        has[y] = False
+        return on
+
+    if lasts(a).all() and lasts(b).all():
+        place[a] = -1
+        place[b] = np.arange(len(b))
+        return aligned(place[a], 0, len(a), 0, len(b), least, percent)
+    out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        on = np.flatnonzero(np.isin(a[a0:a1], b[b0:b1])) + a0
-        for piece in np.split(on, np.flatnonzero(np.diff(on) > GAP) + 1):
-            if not len(piece) or piece[-1] - piece[0] + 1 < least:
-                continue
+        on = within(a[a0:a1], b[b0:b1]) + a0
+        for piece in pieces(on, least, 0) if len(on) else []:
             x = a[piece[0] : piece[-1] + 1]
-            at = np.flatnonzero(np.isin(b[b0:b1], x)) + b0
-            for q in np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1):
-                if q[-1] - q[0] + 1 < least:
-                    continue
+            n = np.count_nonzero(lasts(x))
+            for q in pieces(within(b[b0:b1], x) + b0, least, 0):
                 y = b[q[0] : q[-1] + 1]
-                ux, uy = np.unique(x), np.unique(y)
-                both = len(np.intersect1d(ux, uy, assume_unique=True))
-                f, t, g, u = int(piece[0]), int(piece[-1]), int(q[0]), int(q[-1])
-                if 100 * both >= percent * (len(ux) + len(uy) - both):
-                    out.append((f, t, g, u))
-                    continue
-                gap = np.diff(piece)
-                if len(gap) and gap.max() > 1:
-                    k = int(gap.argmax())
-                    for lo, hi in ((f, int(piece[k]) + 1), (int(piece[k + 1]), t + 1)):
-                        if hi - lo >= least:
-                            todo.append((lo, hi, g, u + 1))
+                uy = y[lasts(y)]
+                both = len(within(uy, x))
+                if 100 * both >= percent * (n + len(uy) - both):
+                    out.append((int(piece[0]), int(piece[-1]), int(q[0]), int(q[-1])))
                 else:
-                    gap = np.diff(q)
-                    if len(gap) and gap.max() > 1:
-                        k = int(gap.argmax())
-                        for lo, hi in ((g, int(q[k]) + 1), (int(q[k + 1]), u + 1)):
-                            if hi - lo >= least:
-                                todo.append((f, t + 1, lo, hi))
+                    todo += narrower(piece, q, least)
     return out
 
 
@@ -227,65 +356,74 @@ def confirmed(pairs: DataFrame, body: DataFrame, least: int, run: int, percent:
     lead = lead.select("a", "g", F.col("a").alias("node"), F.transform("w", lambda x: F.struct(x["la"].alias("la"), zero.alias("ca"), x["ha"].alias("ha"), zero.alias("lb"), zero.alias("cb"), zero.alias("hb"))).cast(kind).alias("w"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
+        apart = 1 << 40  # more than any place
         for b in batches:
-            for part, texts in slices(b, 4):
-                rows = []
-                for a, node, w, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), texts):
-                    s = shingles(hashes(words_of(t)), run)
-                    spans = merged([(x["la"], x["ha"] + 1) if a == node else (x["lb"], x["hb"] + 1) for x in w])
-                    rows.append(([x for x, _ in spans], [y - x for x, y in spans], np.concatenate([s[x:y] for x, y in spans]).view(np.int64)))
-                at, size, tok = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(at, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32())), pa.array(tok, pa.list_(pa.int64()))], ["a", "g", "node", "w", "at", "size", "tok"])
+            for x0, x1, s, starts in tokens_of(b.column(4), run):
+                part = b.slice(x0, x1 - x0)
+                w = part.column(3)
+                row = np.repeat(np.arange(len(part)), np.diff(w.offsets.to_numpy()))
+                lead, w = (part.column(0).to_numpy() == part.column(2).to_numpy())[row], w.flatten()
+                lo, hi = (np.where(lead, w.field(x).to_numpy(), w.field(y).to_numpy()) + row * apart for x, y in (("la", "lb"), ("ha", "hb")))
+                order = np.argsort(lo, kind="stable")
+                lo, end = lo[order], np.maximum.accumulate(hi[order] + 1)
+                new = np.flatnonzero(np.r_[True, lo[1:] > end[:-1]])
+                row, lo = np.divmod(lo[new], apart)
+                size = end[np.r_[new[1:] - 1, len(end) - 1]] - row * apart - lo
+                first = np.cumsum(size) - size
+                tok = s.view(np.int64)[np.repeat(starts[row] + lo - first, size) + np.arange(size.sum())]
+                spans = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                far = np.r_[first, size.sum()][spans].astype(np.int32)
+                lists = [pa.ListArray.from_arrays(spans, pa.array(lo.astype(np.int32))), pa.ListArray.from_arrays(spans, pa.array(size.astype(np.int32))), pa.ListArray.from_arrays(far, pa.array(tok))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], ["a", "g", "node", "w", "at", "size", "tok"])
 
     def meet(t: pa.Table) -> pa.Table:
-        a, node = t["a"][0].as_py(), t["node"].to_pylist()
-        at, size, w = t["at"].to_pylist(), t["size"].to_pylist(), t["w"].to_pylist()
-        tok = [np.asarray(x.values, dtype=np.int64) for x in t["tok"]]
-
-        def piece(k, lo, hi):
-            start = 0
-            for x, n in zip(at[k], size[k]):
-                if x <= lo < x + n:
-                    return tok[k][start + lo - x : start + hi - x + 1]
-                start += n
+        a, node = t["a"][0].as_py(), t["node"].to_numpy()
+        at, size, w, tok = (t[x].combine_chunks() for x in ("at", "size", "w", "tok"))
+        at, size, tok = ([x[i:j] for i, j in zip(v.offsets.to_numpy()[:-1], v.offsets.to_numpy()[1:])] for v in (at, size, tok) for x in (v.values.to_numpy(),))
+        ends = w.offsets.to_numpy()
+        quads = np.stack([w.values.field(x).to_numpy() for x in ("la", "ca", "ha", "lb", "cb", "hb")], 1).astype(np.int64)
 
         def index(k, place):
-            start = 0
-            for x, n in zip(at[k], size[k]):
-                if x <= place < x + n:
-                    return start + place - x
-                start += n
-
-        def held_by(x, y):
-            """Of each place of x how many before it start `least` consecutive ones of which y has enough; None if tokens of x repeat."""
-            if len(np.unique(x)) < len(x) or len(x) < least:
-                return None
-            on = np.cumsum(np.r_[0, np.isin(x, y)])
-            return np.cumsum(np.r_[0, on[least:] - on[:-least] >= enough])
-
-        def dense(held, lo, hi):
-            return hi - lo + 1 >= least and held[hi - least + 2] > held[lo]
-
-        first = node.index(a)
+            """Where places of the text lie in its tokens at hand."""
+            i = np.searchsorted(at[k], place, "right") - 1
+            return (np.cumsum(size[k]) - size[k])[i] + place - at[k][i]
+
+        def dense(on, lo, n):
+            """Whether `least` consecutive ones of the n places from lo hold enough that are on."""
+            sums = np.cumsum(np.r_[0, on])
+            held = np.cumsum(np.r_[0, sums[least:] - sums[:-least] >= enough])
+            return (n >= least) & (held[np.clip(lo + n - least + 1, 0, len(held) - 1)] > held[np.minimum(lo, len(held) - 1)])
+
+        first = int(np.flatnonzero(node == a)[0])
+        ours = tok[first]
+        order = np.argsort(ours)
+        known = ours[order]
+        single = not (known[1:] == known[:-1]).any()
         rows = []
-        for k, b in enumerate(node):
+        for k, b in enumerate(node.tolist()):
             if k == first:
                 continue
+            theirs, q = tok[k], quads[ends[k] : ends[k + 1]]
+            q = q[np.lexsort((q[:, 4], q[:, 1], q[:, 0] - q[:, 2]))]
+            f, g, m, n = index(first, q[:, 0]), index(k, q[:, 3]), q[:, 2] - q[:, 0] + 1, q[:, 5] - q[:, 3] + 1
+            there = np.sort(theirs)
+            plain = single and not (there[1:] == there[:-1]).any()  # no token repeats
+            if plain:
+                i = np.minimum(np.searchsorted(known, theirs), len(known) - 1)
+                on = known[i] == theirs
+                partner = np.full(len(ours), -1)
+                partner[order[i[on]]] = np.flatnonzero(on)
+                kept = dense(partner >= 0, f, m) & dense(on, g, n)
+                q, f, g, m, n = q[kept], f[kept], g[kept], m[kept], n[kept]
             found: list[tuple[int, int, int, int]] = []
-            ours, theirs = held_by(tok[first], tok[k]), held_by(tok[k], tok[first])
-            if ours is None or theirs is None:
-                ours = theirs = None
-            for q in sorted(w[k], key=lambda q: (q["la"] - q["ha"], q["ca"], q["cb"])):
-                if any(f <= q["ca"] <= e and g <= q["cb"] <= u for f, e, g, u in found):
+            for (la, ca, _, lb, cb, _), i, j, x, y in zip(q.tolist(), f.tolist(), g.tolist(), m.tolist(), n.tolist()):
+                if any(r <= ca <= e and z <= cb <= u for r, e, z, u in found):
                     continue
-                if ours is not None:
-                    f, g = index(first, q["la"]), index(k, q["lb"])
-                    if not (dense(ours, f, f + q["ha"] - q["la"]) and dense(theirs, g, g + q["hb"] - q["lb"])):
-                        continue
-                for f, e, g, u in common(piece(first, q["la"], q["ha"]), piece(k, q["lb"], q["hb"]), least, percent):
-                    found.append((f + q["la"], e + q["la"], g + q["lb"], u + q["lb"]))
-            for f, e, g, u in found:
+                if plain:
+                    found += [(r + la - i, e + la - i, z + lb - j, u + lb - j) for r, e, z, u in aligned(partner, i, i + x, j, j + y, least, percent)]
+                else:
+                    found += [(r + la, e + la, z + lb, u + lb) for r, e, z, u in common(ours[i : i + x], theirs[j : j + y], least, percent)]
+            for f, e, g, u in set(found):
                 rows += [(a, b, f, e + run), (b, a, g, u + run)]
         cols = list(zip(*rows)) or [()] * 4
         return pa.table([pa.array(x, pa.int64()) for x in cols], ["node", "other", "start", "end"])
@@ -312,71 +450,65 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     kind = "array<struct<start:bigint,end:bigint>>"
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
         for b in batches:
-            for part, texts in slices(b, 1):
-                n, repeats, cells = [], [], []
-                for t in texts:
-                    w = words_of(t)
-                    s = shingles(hashes(w), run) if len(w) >= words else np.empty(0, np.uint64)
-                    n.append(len(w))
-                    repeats.append([{"start": x, "end": y} for x, y in merged([(x, y + run) for x, y in own_repeats(s, least)])])
-                    cells.append(keyed(s, least))
-                ends = pa.array(np.cumsum([0] + [len(c) for c in cells]).astype(np.int32))
-                flat = np.concatenate(cells)
-                cols = [pa.array(flat[:, 0]), *(pa.array(flat[:, i].astype(np.int32)) for i in (1, 2, 3))]
+            for x, y, s, starts in tokens_of(b.column(1), run):
+                n = np.diff(starts)
+                cells, twice = keyed_all(s, starts, least, run)
+                repeats = [[]] * (y - x)
+                for k in twice.tolist():
+                    own = own_repeats(s[starts[k] : starts[k + 1] - run + 1], least)
+                    repeats[k] = [{"start": p, "end": q} for p, q in merged([(p, q + run) for p, q in own])]
+                ends = pa.array(np.searchsorted(cells[:, 0], np.arange(y - x + 1)).astype(np.int32))
+                cols = [pa.array(cells[:, 1]), *(pa.array(cells[:, i].astype(np.int32)) for i in (2, 3, 4))]
                 wins = pa.StructArray.from_arrays(cols, ["key", "lo", "c", "hi"])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(repeats, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.ListArray.from_arrays(ends, wins)], ["node", "n", "own", "wins"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(n, pa.int64()), pa.array(repeats, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.ListArray.from_arrays(ends, wins)], ["node", "n", "own", "wins"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("digest"))
-    reps = d.where("text is not null").groupBy("digest").agg(F.min("id").alias("id"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"), F.count("*").alias("rows"))
+    named = cut(d.select("id", "digest"))
+    reps = named.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), (F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"), F.count("*").alias("rows"))
     reps = cut(reps.withColumn("node", F.monotonically_increasing_id()), held)
-    one = d.join(reps.select("digest", F.col("id").alias("rep"), "node", "rows"), "digest").where("id <=> rep")
+    one = d.join(reps.select("digest", F.col("id").alias("rep"), "node", "rows", "ids"), "digest").where("id <=> rep")
     # of rows equal in id and text one is read; only those can repeat
-    text = one.where("rows = 1").select("node", "text").unionByName(one.where("rows > 1").select("node", "text").dropDuplicates(["node"]))
-    every = cut(text.mapInArrow(marked, f"node long, n long, own {kind}, wins array<struct<key:bigint,lo:int,c:int,hi:int>>"), early)
+    text = one.where("rows = ids").select("node", "text")
+    if not reps.where("rows > ids").isEmpty():
+        text = text.unionByName(one.where("rows > ids").select("node", "text").dropDuplicates(["node"]))
+    text = cut(text, held, SMALL)
+    every = cut(text.mapInArrow(marked, f"node long, n long, own {kind}, wins array<struct<key:bigint,lo:int,c:int,hi:int>>"), early, SMALL)
+    # a key's leader has the largest rank
+    rank = F.xxhash64(F.lit(0), "node").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.col("c").cast("long").bitwiseAND(F.lit(0xFFFFF)))
     wins = every.select("node", F.inline("wins"))
-    many = cut(wins.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), early)
-    live = cut(wins.join(many, "key", "left_semi"), early)
-    body = cut(text.join(live.select("node").distinct(), "node", "left_semi"), held)
+    many = wins.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max(rank).alias("top")).where("x <> y").select("key", "top")
+    many = cut(many, early)
+    met: list[str] = []
+    live = cut(wins.join(many.hint("shuffle_hash"), "key").select("key", "node", "lo", "c", "hi", (rank == F.col("top")).alias("lead")), met)
     whole = every.where(F.col("n") >= words).join(reps.where("ids > 1").select("node"), "node", "left_semi").select("node", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     spans = cut(whole.union(every.select("node", F.inline("own"))), held)
     size = cut(every.select("node", "n"), held)
-    live = cut(_sketched(live, body, least, run, percent), held)
     clear(spark, early)
-    facts, label = [spans], None
-    links = None
-    led = []  # windows that have met all others of their key
-    for r in range(ROUNDS + 1):
-        k = live
-        if r:
-            for x in led:
-                k = k.join(x, ["key", "node", "c"], "left_anti")
-            k = k.join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            seen = links.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("p"))
-            # a token lies in a passage if its words do
-            k = k.join(seen, "node", "left").withColumn("open", ~F.coalesce(F.exists("p", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"])), F.lit(False))).drop("p")
-            active = k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("z"), (F.min("node") != F.max("node")).alias("two")).where("two and (x <> y or z)").select("key")
-            k = cut(k.join(active, "key", "left_semi"), held)
-            if k.isEmpty():
-                break
-        else:
-            k = k.withColumn("label", F.col("node")).withColumn("open", F.lit(True))
-        if r < ROUNDS:
-            lead = k.groupBy("key").agg(F.max_by(F.struct("node", "label", "open", "lo", "c", "hi", "need", "bits"), F.struct("open", F.xxhash64(F.lit(r), "node"), "c")).alias("l"))
-            lead = cut(lead, held)
-            led.append(lead.select("key", "l.node", "l.c"))
-            p = k.join(lead, "key").where((F.col("node") != F.col("l.node")) & (F.col("open") | F.col("l.open") | (F.col("label") != F.col("l.label"))))
-            both = sum(F.bit_count(F.col("bits")[i].bitwiseAND(F.col("l.bits")[i])) for i in range(BITS // 64))
-            p = p.where(both >= F.least("need", "l.need") - slack(least))
-            p = p.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.lo").alias("la"), F.col("l.c").alias("ca"), F.col("l.hi").alias("ha"), F.col("lo").alias("lb"), F.col("c").alias("cb"), F.col("hi").alias("hb"))
-        else:
-            p = _full(cut(_paired(k, least), held), body, least, run, percent)
-        p = cut(p, held)
-        found = cut(confirmed(p, body, least, run, percent).distinct(), held)
+    live = cut(_sketched(live, text, least, run, percent), early)
+    clear(spark, met)
+    lead = live.where("lead").select("key", F.struct("node", "lo", "c", "hi", "need", "bits").alias("l"))
+    p = live.join(lead.hint("shuffle_hash"), "key").where(F.col("node") != F.col("l.node"))
+    both = sum(F.bit_count(F.col("bits")[i].bitwiseAND(F.col("l.bits")[i])) for i in range(BITS // 64))
+    p = p.where(both >= F.least("need", "l.need") - slack(least))
+    p = cut(p.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.lo").alias("la"), F.col("l.c").alias("ca"), F.col("l.hi").alias("ha"), F.col("lo").alias("lb"), F.col("c").alias("cb"), F.col("hi").alias("hb")), met)
+    links = cut(confirmed(p, text, least, run, percent).distinct(), held)
+    clear(spark, met)
+    label = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), held)
+    facts = [spans, links.select("node", "start", "end")]
+    # leaders have met all others of their key
+    k = live.where("not lead").drop("lead", "bits").join(label.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    seen = links.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("p"))
+    # a token lies in a passage if its words do
+    k = k.join(seen, "node", "left").withColumn("open", ~F.coalesce(F.exists("p", lambda x: (x["start"] <= F.col("c")) & (F.col("c") < x["end"])), F.lit(False))).drop("p")
+    active = k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("z"), (F.min("node") != F.max("node")).alias("two")).where("two and (x <> y or z)").select("key")
+    k = cut(k.join(active, "key", "left_semi"), held)
+    clear(spark, early)
+    if not k.isEmpty():
+        p = cut(_full(k, text, least, run, percent), held)
+        found = cut(confirmed(p, text, least, run, percent).distinct(), held)
         facts.append(found.select("node", "start", "end"))
-        links = found if links is None else links.union(found)
-        label = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), held)
+        label = components(links.union(found).select(F.col("node").alias("a"), F.col("other").alias("b")), held)
     all_spans = facts[0]
     for f in facts[1:]:
         all_spans = all_spans.union(f)
@@ -392,7 +524,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     linked = (F.col("n") >= words) & F.col("p").isNotNull()
     group = cut(group.select("digest", F.when(linked, F.col("least")).alias("least"), F.when(F.col("p").isNotNull(), F.size("p")).otherwise(0).cast("long").alias("n_passages"), F.coalesce(said, F.lit("")).alias("spans")))
     clear(spark, held)
-    out = d.select("id", "digest").join(group, "digest", "left")
+    out = named.join(group, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("least", "id").alias("component_id"))
 
 
@@ -400,23 +532,18 @@ def _sketched(live: DataFrame, body: DataFrame, least: int, run: int, percent: i
     """live with the columns need and bits of `sketches`."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
         for b in batches:
-            for part, texts in slices(b, 2):
-                w = part.column(1)
+            for x, y, s, starts in tokens_of(b.column(2), run):
+                w = b.column(1).slice(x, y - x)
                 flat, size = w.flatten(), np.diff(w.offsets.to_numpy())
-                lo, c, hi = (flat.field(x).to_numpy() for x in ("lo", "c", "hi"))
-                start, out = 0, []
-                for n, t in zip(size, texts):
-                    k = slice(start, start + n)
-                    out.append(sketches(shingles(hashes(words_of(t)), run), lo[k], c[k], hi[k], least, percent))
-                    start += n
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([x for _, x in out]).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
-                node = pa.array(np.repeat(part.column(0).to_numpy(), size))
-                yield pa.RecordBatch.from_arrays([flat.field("key"), node, *(flat.field(x) for x in ("lo", "c", "hi")), pa.array(np.concatenate([x for x, _ in out])), bits], ["key", "node", "lo", "c", "hi", "need", "bits"])
+                at = np.repeat(starts[:-1], size)
+                need, bits = sketches(s, *(flat.field(i).to_numpy() + at for i in ("lo", "c", "hi")), least, percent)
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+                node = pa.array(np.repeat(b.column(0).slice(x, y - x).to_numpy(), size))
+                yield pa.RecordBatch.from_arrays([flat.field("key"), node, *(flat.field(i) for i in ("lo", "c", "hi", "lead")), pa.array(need), bits], ["key", "node", "lo", "c", "hi", "lead", "need", "bits"])
 
-    w = live.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "c", "hi")).alias("w"))
-    return w.join(body, "node").select("node", "w", "text").mapInArrow(draw, "key long, node long, lo int, c int, hi int, need int, bits array<long>")
+    w = live.groupBy("node").agg(F.collect_list(F.struct("key", "lo", "c", "hi", "lead")).alias("w"))
+    return w.join(body, "node").select("node", "w", "text").mapInArrow(draw, "key long, node long, lo int, c int, hi int, lead boolean, need int, bits array<long>")
 
 
 def _blocks(k: DataFrame) -> DataFrame:
@@ -427,99 +554,101 @@ def _blocks(k: DataFrame) -> DataFrame:
     return k.withColumn("side", side).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
 
-def _paired(k: DataFrame, least: int) -> DataFrame:
-    """The windows of k whose sketch fits that of another one of their key, of which one is open or the labels differ.
-
-    Keys of one block are met many at a time, about BLOCK windows in a group."""
-    lost = slack(least)
-
-    def fit(t: pa.Table) -> pa.Table:
-        key, node, label, side, need = (t[x].to_numpy() for x in ("key", "node", "label", "side", "need"))
-        free = t["open"].to_numpy(zero_copy_only=False)
-        bits = t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(t), -1)
-        hit = np.zeros(len(t), bool)
-        order = np.argsort(key, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            x, y = (run, run) if side[run[0]] == 2 else (run[side[run] == 0], run[side[run] == 1])
-            for z in range(0, len(x), 100):
-                i = x[z : z + 100]
-                both = np.bitwise_count(bits[i, None] & bits[None, y]).sum(2, dtype=np.int32)
-                fits = (both >= np.minimum(need[i, None], need[None, y]) - lost) & (node[i, None] != node[None, y])
-                fits &= free[i, None] | free[None, y] | (label[i, None] != label[None, y])
-                hit[i] |= fits.any(1)
-                hit[y] |= fits.any(0)
-        return t.select(["key", "node", "c"]).filter(pa.array(hit))
-
-    groups = max(1, k.count() // BLOCK)
-    b = _blocks(k.select("key", "node", "label", "open", "c", "need", "bits"))
-    b = b.withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
-    b = b.select("group", "p", "q", "side", "key", "node", "label", "open", "c", "need", "bits")
-    hit = b.groupBy("group", "p", "q").applyInArrow(fit, "key long, node long, c int").distinct()
-    return k.drop("bits").join(hit, ["key", "node", "c"], "left_semi")
-
-
 def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
     """Pairs of windows of a key that share a passage about their nodes and join their classes, or settle one that is open."""
     enough = int(np.ceil(least * 2 * percent / (100 + percent) - 1e-9))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Words()
         for b in batches:
-            for part, texts in slices(b, 2):
-                near, rows = [], []
-                for w, t in zip(part.column(1).to_pylist(), texts):
-                    s = shingles(hashes(words_of(t)), run).view(np.int64)
-                    for x in w:
-                        near.append((s[max(x["lo"], x["c"] - least + 1) : min(x["hi"], x["c"] + least - 1) + 1]))
-                        rows.append(x)
-                node = np.repeat(part.column(0).to_numpy(), [len(w) for w in part.column(1)])
-                cols = [pa.array([x[c] for x in rows], kind) for c, kind in (("key", pa.int64()), ("label", pa.int64()), ("open", pa.bool_()), ("lo", pa.int32()), ("c", pa.int32()), ("hi", pa.int32()), ("need", pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *cols, pa.array(near, pa.list_(pa.int64()))], ["node", "key", "label", "open", "lo", "c", "hi", "need", "near"])
+            for x0, x1, s, starts in tokens_of(b.column(2), run):
+                part = b.slice(x0, x1 - x0)
+                w = part.column(1)
+                n, w = np.diff(w.offsets.to_numpy()), w.flatten()
+                lo, c, hi = (w.field(x).to_numpy().astype(np.int64) for x in ("lo", "c", "hi"))
+                left, right = np.maximum(lo, c - least + 1), np.minimum(hi, c + least - 1)
+                size = right - left + 1
+                end = np.r_[0, np.cumsum(size)]
+                near = s.view(np.int64)[np.repeat(np.repeat(starts[:-1], n) + left - end[:-1], size) + np.arange(end[-1])]
+                node = np.repeat(part.column(0).to_numpy(), n)
+                names = ["key", "label", "open", "lo", "c", "hi", "need"]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *(w.field(x) for x in names), pa.ListArray.from_arrays(end.astype(np.int32), pa.array(near))], ["node", *names, "near"])
 
     def tile(t: pa.Table) -> pa.Table:
-        node, label, side, need = (t[c].to_numpy() for c in ("node", "label", "side", "need"))
-        free = t["open"].to_numpy(zero_copy_only=False)
-        same = side[0] == 2
-        x, y = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        t = t.take(pa.array(np.argsort(t["key"].to_numpy(), kind="stable"))).combine_chunks()
+        key, node, label, side, need = (t[c].to_numpy() for c in ("key", "node", "label", "side", "need"))
+        label, free = label.copy(), t["open"].to_numpy(zero_copy_only=False).copy()
         near = t["near"].combine_chunks()
-        size = np.diff(near.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(node)), size)
-        token, at, count = np.unique(near.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        use = count[at] > 1
-        column = (np.cumsum(count > 1) - 1)[at[use]]
-        owner = owner[use]
-        where = np.full(len(at), -1)
-        where[use] = column  # column of each token in the block's order, -1 if it has it once
-        total = int(column.max()) + 1 if len(column) else 0
-        has = np.zeros((len(node), total + 1), np.uint8)  # the last column stays empty
-        has[owner, column] = 1
-        shared = np.zeros((len(x), len(y)), np.float32)
-        for z in range(0, total, 4096):
-            m = has[:, z : z + 4096].astype(np.float32)
-            shared += m[x] @ m[y].T
-        first = np.cumsum(size) - size
-        tokens = near.flatten().to_numpy()
-        fits = shared >= np.minimum(need[x, None], need[None, y])
-        fits &= node[x, None] != node[None, y]
-        label, free = label.copy(), free.copy()
+        ends, tokens = near.offsets.to_numpy().astype(np.int64), near.values.to_numpy()
+        size = np.diff(ends)
+        # windows of which others of the key have too few tokens are left out
+        owner = np.repeat(np.arange(len(t)), size)
+        with np.errstate(over="ignore"):
+            here = mix(tokens.view(np.uint64) + mix(key.view(np.uint64))[owner])
+        numbers, at, count = np.unique(here, return_inverse=True, return_counts=True)
+        sums = np.r_[0, np.cumsum(count[at] > 1)]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        least_need = np.repeat(np.minimum.reduceat(need, begin), np.diff(np.r_[begin, len(key)]))
+        useful = sums[ends[1:]] - sums[ends[:-1]] >= least_need
+        runs = np.zeros(len(tokens) + 1, np.int64)
+        if len(tokens) >= least:
+            runs[1 : len(tokens) - least + 2] = sums[least:] - sums[:-least] >= enough
+        runs = np.cumsum(runs)
+        ready = (size >= least) & (runs[np.maximum(ends[1:] - least + 1, ends[:-1])] > runs[ends[:-1]])
         out = []
-        for i, v in [(x[u], y[fits[u]]) for u in np.flatnonzero(fits.any(1))] + ([] if same else [(y[u], x[fits[:, u]]) for u in np.flatnonzero(fits.any(0))]):
-            mine = slice(first[i], first[i] + size[i])
-            v = v[free[i] | free[v] | (label[v] != label[i])]
-            run_sum = np.cumsum(np.pad(has[v[:, None], where[mine][None, :]], ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-            dense = (run_sum[:, least:] - run_sum[:, :-least]).max(1) >= enough if size[i] >= least else np.zeros(len(v), bool)
-            for j in v[dense]:
-                if not (free[i] or free[j] or label[i] != label[j]):
-                    continue
-                if common(tokens[mine], tokens[first[j] : first[j] + size[j]], least, percent):
-                    out.append((i, j))
-                    free[i] = free[j] = False
-                    label[label == label[j]] = label[i]
+        for z, y in zip(begin.tolist(), [*begin[1:].tolist(), len(key)]):
+            if not ready[z:y].any():
+                continue
+            group = np.flatnonzero(useful[z:y]) + z
+            left, right = (group, group) if side[z] == 2 else (group[side[group] == 0], group[side[group] == 1])
+            if not len(left) or not len(right) or node[group].min() == node[group].max():
+                continue
+            flat = np.concatenate([at[ends[i] : ends[i + 1]] for i in group.tolist()])
+            _, column, several = np.unique(flat, return_inverse=True, return_counts=True)
+            total = int((several > 1).sum())
+            column = np.where(several > 1, np.cumsum(several > 1) - 1, total)[column]  # the last column stays empty
+            row = np.zeros(y - z, np.int64)
+            row[group - z] = np.arange(len(group))
+            has = np.zeros((len(group), total + 1), np.uint8)
+            has[np.repeat(np.arange(len(group)), size[group]), column] = 1
+            has[:, total] = 0
+            spot = np.cumsum(size[group]) - size[group]
+            shared = np.zeros((len(left), len(right)), np.float32)
+            for k in range(0, total, 4096):
+                m = has[:, k : k + 4096].astype(np.float32)
+                shared += m[row[left - z]] @ m[row[right - z]].T
+            fits = (shared >= np.minimum(need[left, None], need[None, right])) & (node[left, None] != node[None, right])
+            tries = [(left[u], right, fits[u]) for u in np.flatnonzero(fits.any(1) & ready[left])]
+            if side[z] != 2:
+                tries += [(right[u], left, fits[:, u]) for u in np.flatnonzero(fits.any(0) & ready[right])]
+            alike: dict[bytes, int] = {}  # windows of the same tokens are compared once
+            same = {i: alike.setdefault(at[ends[i] : ends[i + 1]].tobytes(), i) for i in group.tolist()}
+            apart = set()
+            for i, v, fit in tries:
+                v = v[fit]
+                v = v[free[i] | free[v] | (label[v] != label[i])]
+                first = spot[row[i - z]]
+                held = np.zeros((len(v), size[i] + 1), np.int32)
+                np.cumsum(has[row[v - z][:, None], column[first : first + size[i]]], axis=1, dtype=np.int32, out=held[:, 1:])
+                for j in v[(held[:, least:] - held[:, :-least]).max(1) >= enough].tolist():
+                    if not (free[i] or free[j] or label[i] != label[j]):
+                        continue
+                    if (same[i], same[j]) in apart:
+                        continue
+                    if common(at[ends[i] : ends[i + 1]], at[ends[j] : ends[j + 1]], least, percent, len(numbers)):
+                        out.append((i, j))
+                        free[i] = free[j] = False
+                        mates = label[z:y]
+                        mates[mates == label[j]] = label[i]
+                    else:
+                        apart.add((same[i], same[j]))
         pairs = np.array(out, np.int64).reshape(-1, 2).T
         cols = [t[c].to_numpy()[p] for p in pairs for c in ("node", "lo", "c", "hi")]
         return pa.table([cols[0], cols[4], *cols[1:4], *cols[5:]], ["a", "b", "la", "ca", "ha", "lb", "cb", "hb"])
 
+    groups = max(1, k.count() // BLOCK)
     w = k.groupBy("node").agg(F.collect_list(F.struct("key", "label", "open", "lo", "c", "hi", "need")).alias("w"))
     k = w.join(body, "node").select("node", "w", "text").mapInArrow(around, "node long, key long, label long, open boolean, lo int, c int, hi int, need int, near array<long>")
-    k = _blocks(k).select("key", "p", "q", "side", "node", "label", "open", "lo", "c", "hi", "need", "near")
-    return k.groupBy("key", "p", "q").applyInArrow(tile, "a long, b long, la int, ca int, ha int, lb int, cb int, hb int")
+    # keys of one block are met many at a time, about BLOCK windows in a group
+    k = _blocks(k).withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
+    k = k.select("group", "p", "q", "side", "key", "node", "label", "open", "lo", "c", "hi", "need", "near")
+    return k.groupBy("group", "p", "q").applyInArrow(tile, "a long, b long, la int, ca int, ha int, lb int, cb int, hb int")
