@@ -158,3 +158,29 @@ def test_windows_take_less_time_than_sorting_the_tokens():
         n = sum(len(keyed_all(s, starts, 46, 5)[0]) for _, _, s, starts in tokens_of(texts, 5))
         took.append((time.process_time() - u) / (u - t))
     assert n > 40_000 and min(took) < 1.5, took
+
+
+def test_large_keys_meet_in_rounds(spark, monkeypatch):
+    """Blocks of few windows: no job sends more than about twice the windows, and the results stay."""
+    from weft.llm import passages as P
+
+    g = random.Random(8)
+    word = lambda n: " ".join("w%d" % g.randrange(10**6) for _ in range(n))
+    line, other = word(30), word(70)  # a line too short for a passage, so its windows stay open
+    docs = [(i, f"{word(60)} {line} {word(60)}" + (f" {other if i % 2 else word(70)}" if i % 3 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, P.repeated_passages(df).collect()))
+    assert any(r[1] for r in want)
+    sent, blocks = [], P._blocks
+
+    def counted(*a):
+        out = blocks(*a)
+        sent.append((out.count(), a[0].count() if len(sent) < 2 else 0))
+        return out
+
+    monkeypatch.setattr(P, "BLOCK", 10)
+    monkeypatch.setattr(P, "SENT", 1)
+    monkeypatch.setattr(P, "_blocks", counted)
+    assert sorted(map(tuple, P.repeated_passages(df).collect())) == want
+    n = sum(k for _, k in sent)
+    assert len(sent) > 2 and all(rows <= 2 * n for rows, _ in sent)

@@ -20,7 +20,9 @@ unsettled, or of different classes, meet in full, in blocks of BLOCK windows: th
 have enough tokens are compared by a matrix product over the tokens that repeat in the block; where
 `least` consecutive ones about a node are shared, the similarity is computed on the spot, once for
 windows of the same tokens. Only pairs that hold, and settle a window or join classes that the block
-has not joined yet, leave the block: none is lost, and no group of pairs is written out.
+has not joined yet, leave the block: none is lost, and no group of pairs is written out. Where keys
+of many blocks would send the windows more than SENT times, their blocks meet in rounds of bounded
+size, and what one round settles or joins is known to the next.
 """
 from collections.abc import Iterator
 
@@ -33,6 +35,7 @@ from weft.llm.common import clear, components, cut, mix
 HASHES = 4
 GAP = 12  # tokens without a partner that end a passage
 BLOCK = 1000
+SENT = 3  # windows sent to blocks in one job, for each window there is; beyond that they meet in rounds
 GROUP = 400_000  # tokens that meet one text in a task, about
 BITS = 512
 MISS = 1e-5  # share of pairs at the bound that collisions of bits may hide
@@ -505,7 +508,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, run: int = 5, percent: i
     k = cut(k.join(active, "key", "left_semi"), held)
     clear(spark, early)
     if not k.isEmpty():
-        p = cut(_full(k, text, least, run, percent), held)
+        p = _full(k, text, least, run, percent, held)
         found = cut(confirmed(p, text, least, run, percent).distinct(), held)
         facts.append(found.select("node", "start", "end"))
         label = components(links.union(found).select(F.col("node").alias("a"), F.col("other").alias("b")), held)
@@ -546,16 +549,28 @@ def _sketched(live: DataFrame, body: DataFrame, least: int, run: int, percent: i
     return w.join(body, "node").select("node", "w", "text").mapInArrow(draw, "key long, node long, lo int, c int, hi int, lead boolean, need int, bits array<long>")
 
 
-def _blocks(k: DataFrame) -> DataFrame:
-    """k with p, q, side: each two of a key's blocks of BLOCK windows, and which of them the window is of (2: p = q)."""
-    many = k.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    k = k.join(many, "key").withColumn("own", F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _blocks(k: DataFrame, low: int = 0, high: int = 1 << 30) -> DataFrame:
+    """k with p, q, side: each two of a key's blocks that lie low to high (exclusive) apart in a ring, and which of them the window is of (2: p = q)."""
+    k = k.withColumn("own", F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int"))
+    far = lambda x: F.least(F.abs(x - F.col("own")), F.col("blocks") - F.abs(x - F.col("own")))
+    k = k.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (far(x) >= low) & (far(x) < high))))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     return k.withColumn("side", side).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
 
-def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) -> DataFrame:
-    """Pairs of windows of a key that share a passage about their nodes and join their classes, or settle one that is open."""
+def _unsettled(k: DataFrame, pairs: DataFrame, held: list[str]) -> DataFrame:
+    """k after pairs of `tile`: their windows are no longer open, their classes are one; keys without work are left out."""
+    ends = pairs.select("key", F.col("a").alias("node"), F.col("ca").alias("c")).union(pairs.select("key", "b", "cb")).distinct()
+    now = components(pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b")), held).toDF("label", "now")
+    k = k.join(now, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+    k = k.join(ends.withColumn("met", F.lit(True)), ["key", "node", "c"], "left").withColumn("open", F.col("open") & F.col("met").isNull()).drop("met")
+    return k.join(k.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("open").alias("z")).where("x <> y or z").select("key"), "key", "left_semi")
+
+
+def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int, held: list[str]) -> DataFrame:
+    """Pairs of windows of a key that share a passage about their nodes and join their classes, or settle one that is open.
+
+    The pairs are written; held gets the tables' paths."""
     enough = int(np.ceil(least * 2 * percent / (100 + percent) - 1e-9))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,7 +585,7 @@ def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) ->
                 end = np.r_[0, np.cumsum(size)]
                 near = s.view(np.int64)[np.repeat(np.repeat(starts[:-1], n) + left - end[:-1], size) + np.arange(end[-1])]
                 node = np.repeat(part.column(0).to_numpy(), n)
-                names = ["key", "label", "open", "lo", "c", "hi", "need"]
+                names = ["key", "label", "open", "lo", "c", "hi", "need", "blocks"]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *(w.field(x) for x in names), pa.ListArray.from_arrays(end.astype(np.int32), pa.array(near))], ["node", *names, "near"])
 
     def tile(t: pa.Table) -> pa.Table:
@@ -642,13 +657,34 @@ def _full(k: DataFrame, body: DataFrame, least: int, run: int, percent: int) ->
                     else:
                         apart.add((same[i], same[j]))
         pairs = np.array(out, np.int64).reshape(-1, 2).T
-        cols = [t[c].to_numpy()[p] for p in pairs for c in ("node", "lo", "c", "hi")]
-        return pa.table([cols[0], cols[4], *cols[1:4], *cols[5:]], ["a", "b", "la", "ca", "ha", "lb", "cb", "hb"])
-
-    groups = max(1, k.count() // BLOCK)
-    w = k.groupBy("node").agg(F.collect_list(F.struct("key", "label", "open", "lo", "c", "hi", "need")).alias("w"))
-    k = w.join(body, "node").select("node", "w", "text").mapInArrow(around, "node long, key long, label long, open boolean, lo int, c int, hi int, need int, near array<long>")
-    # keys of one block are met many at a time, about BLOCK windows in a group
-    k = _blocks(k).withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
-    k = k.select("group", "p", "q", "side", "key", "node", "label", "open", "lo", "c", "hi", "need", "near")
-    return k.groupBy("group", "p", "q").applyInArrow(tile, "a long, b long, la int, ca int, ha int, lb int, cb int, hb int")
+        cols = [t[c].to_numpy()[p] for p in pairs for c in ("node", "lo", "c", "hi", "label")]
+        return pa.table([cols[0], cols[5], *cols[1:4], *cols[6:9], key[pairs[0]], cols[4], cols[9]], ["a", "b", "la", "ca", "ha", "lb", "cb", "hb", "key", "ka", "kb"])
+
+    def near(k: DataFrame) -> DataFrame:
+        w = k.groupBy("node").agg(F.collect_list(F.struct("key", "label", "open", "lo", "c", "hi", "need", "blocks")).alias("w"))
+        return w.join(body, "node").select("node", "w", "text").mapInArrow(around, "node long, key long, label long, open boolean, lo int, c int, hi int, need int, blocks int, near array<long>")
+
+    def met(k: DataFrame) -> DataFrame:
+        # keys of one block are met many at a time, about BLOCK windows in a group
+        k = k.withColumn("group", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
+        k = k.select("group", "p", "q", "side", "key", "node", "label", "open", "lo", "c", "hi", "need", "near")
+        return cut(k.groupBy("group", "p", "q").applyInArrow(tile, "a long, b long, la int, ca int, ha int, lb int, cb int, hb int, key long, ka long, kb long"), held)
+
+    n = k.count()
+    groups = max(1, n // BLOCK)
+    many = cut(k.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), held)
+    hot, sent, top = many.agg(F.sum("size"), F.sum(F.col("size") * F.col("blocks")), F.max("blocks")).first()
+    k = k.join(many.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if not hot or n - hot + sent <= SENT * n:
+        return met(_blocks(near(k)))
+    pairs = met(_blocks(near(k.where("blocks = 1"))))
+    mine: list[str] = []
+    hottest, found = cut(near(k.where("blocks > 1")), mine, SMALL), None
+    step = max(1, SENT * n // (2 * hot))
+    for low in range(0, top // 2 + 1, step):
+        old: list[str] = []
+        new = met(_blocks(hottest if found is None else _unsettled(hottest, found, old), low, low + step))
+        found = new if found is None else found.union(new)
+        clear(body.sparkSession, old)
+    clear(body.sparkSession, mine)
+    return pairs.union(found)
