@@ -1,8 +1,11 @@
 """A crawl over a table of pages in place of the network: rounds of a frontier, robots rules and politeness."""
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.functions import links
-from weft.operators.storage import checkpointed
+from weft.operators.storage import clear, written
+from weft.plans.graph import gathered
 
 
 def polite(frontier: DataFrame, hosts: DataFrame, now: int) -> DataFrame:
@@ -20,20 +23,24 @@ def links_of(pages: DataFrame, kind: str = "crawl") -> DataFrame:
     return e.where("src is not null and dst is not null").distinct()
 
 
-def crawl(seeds: DataFrame, web: DataFrame, edges: DataFrame, allowed: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, web: DataFrame, edges: DataFrame, allowed: DataFrame | None = None, rounds: int | None = None, name: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """(url, round): the pages of web (url) reached from seeds (url) over edges (src, dst), with their first round.
 
     Runs until the frontier is empty, or `rounds` rounds as its time limit. allowed (url) restricts what is fetched.
-    Every round is a checkpoint.
+    Pages may stand for URLs by numbers, of which `name` gives the URL. Links, pages and every round are written once,
+    so each link is followed once.
     """
-    can = web.select("url").where(~links.skipped(F.col("url"), "fetch"))
+    held: list[str] = []
+    can = web.select("url").where(~links.skipped(name(F.col("url")), "fetch"))
     if allowed is not None:
         can = can.join(allowed, "url", "left_semi")
-    front = checkpointed(seeds.select("url").distinct().join(can, "url", "left_semi").withColumn("round", F.lit(0)))
+    can, out = written(can, held), gathered(edges, held)
+    front = written(seeds.select("url").distinct().join(can, "url", "left_semi").withColumn("round", F.lit(0)))
     seen, k = front, 0
     while not front.isEmpty() and (rounds is None or k < rounds):
         k += 1
-        new = edges.join(front, F.col("src") == F.col("url"), "left_semi").select(F.col("dst").alias("url")).distinct()
-        front = checkpointed(new.join(can, "url", "left_semi").join(seen, "url", "left_anti").withColumn("round", F.lit(k)))
+        new = out.join(front, F.col("src") == F.col("url"), "left_semi").select(F.explode("out").alias("url")).distinct()
+        front = written(new.join(can, "url", "left_semi").join(seen.select("url"), "url", "left_anti").withColumn("round", F.lit(k)))
         seen = seen.union(front)
+    clear(web.sparkSession, held)
     return seen
